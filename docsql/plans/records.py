@@ -24,8 +24,8 @@ c as (select *, case d
     when '|' then regexp_extract_all(s || d, '("[^"]*(?:""[^"]*)*"|[^"|][^|]*|)[|]', 1)
     when ',' then regexp_extract_all(s || d, '("[^"]*(?:""[^"]*)*"|[^",][^,]*|),', 1)
     else regexp_extract_all(s || d, '("[^"]*(?:""[^"]*)*"|[^"\t][^\t]*|)\t', 1) end as cells from r),
-q as (select *, list_sum(list_transform(cells, x -> length(x) + 1)) = length(s) + 1 as whole from c),
-v as (select *, list_transform(cells, x -> nullif(trim(case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end, ' ' || chr(9) || chr(10) || chr(13)), '')) as vals from q),
+q as (select *, list_sum(list_transform(cells, lambda x: length(x) + 1)) = length(s) + 1 as whole from c),
+v as (select *, list_transform(cells, lambda x: nullif(trim(case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end, ' ' || chr(9) || chr(10) || chr(13)), '')) as vals from q),
 u as (select row_id, unnest(vals) as x, unnest(kinds) as k from v where whole and len(cells) = width),
 b as (select row_id, bool_or(x is not null and not case k
     when 'integer' then regexp_full_match(x, '-?(0|[1-9][0-9]*)') and abs(coalesce(try_cast(x as hugeint), 9999999999)) <= 2147483647
