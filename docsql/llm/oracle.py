@@ -6,12 +6,12 @@ P1_FOUND = rf"""
 with one as (select d.id, case when o.size >= 1 then o.size else 1200 end as size,
     trim(replace(replace(d.content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10)) as t
   from {_ONE} d left join chunk_options o on d.collection = o.collection)
-select id, case when list_max(list_transform(regexp_split_to_array(t, '[ \t\n]'), x -> length(x))) > size then 'run' else 'plain' end as kind
+select id, case when list_max(list_transform(regexp_split_to_array(t, '[ \t\n]'), lambda x: length(x))) > size then 'run' else 'plain' end as kind
 from one where length(t) > size
 """
 
 P2_FOUND = """
-with v as (select id, any_value(embedding) as e from chunks where len(embedding) = 64 and list_max(list_transform(embedding, x -> abs(x))) > 0 group by id),
+with v as (select id, any_value(embedding) as e from chunks where len(embedding) = 64 and list_max(list_transform(embedding, lambda x: abs(x))) > 0 group by id),
 s as (select a.id as a, b.id as b, list_cosine_similarity(a.e::double[], b.e::double[]) as s from v a join v b on a.id <> b.id),
 n as (select a, b from (select *, row_number() over (partition by a order by s desc, b) as r from s) where r <= 5 and s >= 0.88)
 select distinct least(a, b) as id_a, greatest(a, b) as id_b from n
@@ -19,7 +19,7 @@ select distinct least(a, b) as id_a, greatest(a, b) as id_b from n
 
 P5_FOUND = rf"""
 with w as (select id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(content, '')), '[\p{{L}}\p{{N}}]+') as w from {_ONE}),
-t as (select distinct id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as t from w where len(w) >= 3),
+t as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as t from w where len(w) >= 3),
 n as (select id, count(*) as n from t group by id),
 p as (select a.id as id_a, b.id as id_b, count(*) as c from t a join t b on a.t = b.t and a.id < b.id group by 1, 2)
 select id_a, id_b from p join n x on x.id = id_a join n y on y.id = id_b where 10 * c >= 6 * (x.n + y.n - c)
@@ -45,7 +45,7 @@ select thread_id, reason from v where reason is not null
 
 P10_FOUND = """
 with d as (select distinct doc_id, text from documents where length(text) >= 200),
-w as (select distinct doc_id, h from (select doc_id, unnest(list_transform(range(1, length(text) - 198), i -> hash(text[i:i + 199]))) as h from d)),
+w as (select distinct doc_id, h from (select doc_id, unnest(list_transform(range(1, length(text) - 198), lambda i: hash(text[i:i + 199]))) as h from d)),
 m as (select h from w group by h having count(*) > 1),
 s as (select w.* from w join m using (h))
 select distinct a.doc_id as doc_a, b.doc_id as doc_b from s a join s b on a.h = b.h and a.doc_id < b.doc_id
