@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsql.llm import bpe, conversations, hilbert, neardup, packing, spans, splitting
+from docsql.llm import bpe, conversations, hilbert, neardup, ocr, packing, pii, spans, splitting
 from docsql.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return hilbert.nearest(table(spark, d, "chunks"), asked="id % 20 = 0").select("id", "neighbour", "similarity", "rank")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(table(spark, d, "ingest_documents"), table(spark, d, "messages"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "ingest_documents"), table(spark, d, "messages"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_records(table(spark, d, "ingest_documents"), 0.6)
 
@@ -38,6 +46,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.record_groups(table(spark, d, "ingest_documents"), 0.6)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.noisy_lines(table(spark, d, "ingest_documents"))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repaired(table(spark, d, "ingest_documents"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.thread_verdicts(table(spark, d, "messages"), table(spark, d, "threads")).where(F.col("reason").isNotNull())
 
@@ -63,5 +79,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_pieces, p2_found, p2_nearest, p5_found, p5_groups, p7_found, p7_conversations, p8_ids, p9_containers, p10_found, p10_shares]
+    found = [p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_redacted, p5_found, p5_groups, p6_found, p6_repaired, p7_found, p7_conversations, p8_ids, p9_containers, p10_found, p10_shares]
     return {q.__name__: q for q in found}
