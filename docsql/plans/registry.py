@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsql.plans import records
+from docsql.plans import analytics, records
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [records]
+MODULES = [analytics, records]
 
 
 def queries() -> dict[str, Query]:
