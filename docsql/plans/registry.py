@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsql.plans import analytics, records
+from docsql.plans import analytics, pipelines, records
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [analytics, records]
+MODULES = [analytics, pipelines, records]
 
 
 def queries() -> dict[str, Query]:

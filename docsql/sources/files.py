@@ -13,7 +13,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,18 +141,19 @@ def load_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def load_binaries(files: DataFrame) -> DataFrame:
-    names = [x.split(" ")[0] for x in RESULT.split(", ")]
+    text, texts = pa.string(), pa.list_(pa.string())
+    schema = pa.schema([("path", text), ("format", text), ("kind", text), ("ordinal", pa.int32()), ("title", text), ("content", text), ("columns", texts), ("rows", pa.list_(texts)), ("warnings", texts), ("error", text)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for path, data in zip(f.path, f.content):
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 try:
                     if data is None:
                         raise ValueError(f"larger than {MOST_BYTES} bytes, or missing")
-                    out += [{"path": path} | r for r in load_file(path, bytes(data))]
+                    out += [{"path": path} | r for r in load_file(path, data)]
                 except Exception as x:  # noqa: BLE001 - a file's error must not end the others
                     out.append({"path": path, "kind": "error", "error": f"{type(x).__name__}: {x}"})
-            yield pd.DataFrame(out, columns=names).astype({"ordinal": "Int32"})
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return files.select("path", "content").mapInPandas(run, RESULT)
+    return files.select("path", "content").mapInArrow(run, RESULT)
