@@ -57,7 +57,7 @@ def wilson(passed: Column, total: Column, z: float = Z95) -> tuple[Column, Colum
     n = F.nullif(total, F.lit(0)).cast("double")
     p = passed / n
     middle, width = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    end = lambda c: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / (1 + z * z / n))), F.lit(0.0))
+    end = lambda c: F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / (1 + z * z / n))))
     return end(middle - width), end(middle + width)
 
 

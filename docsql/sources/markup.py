@@ -339,7 +339,7 @@ def xlsx_sheets(data: bytes) -> list[tuple[str, list[list[str | None]]]]:
     styles = _xml(z, "xl/styles.xml")
     if styles is not None:
         own = {int(f.attrib["numFmtId"]): f.attrib.get("formatCode", "") for f in _all(styles, "numFmt")}
-        for i, xf in enumerate(c for c in (_first(styles, "cellXfs") or [])):
+        for i, xf in enumerate(list(found) if (found := _first(styles, "cellXfs")) is not None else []):
             code = int(xf.attrib.get("numFmtId", 0))
             plain = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", own.get(code, ""))
             if 14 <= code <= 22 or 45 <= code <= 47 or re.search(r"[dmyhs]", plain, re.I):
