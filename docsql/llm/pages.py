@@ -75,13 +75,13 @@ def page_numbers(lines: list[str]) -> set[int]:
                     best[j], back[j] = best[i] + 1, i
         chain = max(range(len(rows)), key=lambda j: best[j])
         marked = bool(before or after)
-        edge = marked or not digits or len(rows) == 1 and _at_edge(lines, rows[0][0])
+        sure = {i for i, _ in rows if marked or not digits and len(lines[i].strip("\f \t\r")) > 1}
+        edge = bool(sure) or digits and len(rows) == 1 and _at_edge(lines, rows[0][0])
         if best[chain] >= 2 or edge:
             while chain >= 0:
                 found.add(rows[chain][0])
                 chain = back[chain]
-            if marked or not digits:
-                found |= {i for i, _ in rows}
+        found |= sure
     return found
 
 
