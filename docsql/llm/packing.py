@@ -1,7 +1,7 @@
 """Filling of fixed-capacity containers: bulk-synchronous best fit.
 
-Items (texts, in tokens) are placed in rounds of descending size, a round for every halving of the capacity. In a round
-the items and the gaps that are wide enough are range-partitioned by size; in every range a sweep gives each item, the
+Items (texts, in tokens) are placed in rounds of descending size, a round for every halving of the capacity (neighbouring
+halvings with few items share one). In a round the items and the gaps that are wide enough are range-partitioned by size; in every range a sweep gives each item, the
 largest first, the narrowest gap that holds it (the successor of its size); items that want the same gap take it in rank
 order, the next one taking the next gap; an item without a gap opens a container. Gaps are updated and the next round
 begins. Ranges hold at most about ITEMS_A_RANGE items each, cut by the exact histogram of sizes, which is no larger than
@@ -66,6 +66,23 @@ def _borders(histogram: dict[int, int], low: int, high: int) -> list[int]:
     return [*out, high]
 
 
+def _rounds(histogram: dict[int, int], capacity: int) -> list[tuple[int, int]]:
+    """Descending size classes (low, high]: halvings of the capacity, joined as long as one range holds their items."""
+    out: list[tuple[int, int]] = []
+    count = 0
+    for k in range(capacity.bit_length()):
+        low, high = capacity >> (k + 1), capacity >> k
+        n = sum(c for s, c in histogram.items() if low < s <= high)
+        if not n:
+            continue
+        if out and count + n <= ITEMS_A_RANGE:
+            out[-1], count = (low, out[-1][1]), count + n
+        else:
+            out.append((low, high))
+            count = n
+    return out
+
+
 def pack(items: DataFrame, capacities: list[int]) -> DataFrame:
     """capacity, container, doc_id, piece, start_token, n_tokens for items (doc_id, n_tokens)."""
     spark = items.sparkSession
@@ -83,19 +100,14 @@ def pack(items: DataFrame, capacities: list[int]) -> DataFrame:
         sizes[r[0]][r[1]] = r[2]
 
     gaps = spark.createDataFrame([], "capacity int, container string, width int")
-    rounds = max(caps, default=1).bit_length()
-    for k in range(rounds):
-        spans = {c: (c >> (k + 1), c >> k) for c in caps if c >> k}
-        spans = {c: (lo, hi) for c, (lo, hi) in spans.items() if any(lo < s <= hi for s in sizes[c])}
-        if not spans:
-            continue
-        first, task = {}, 0
+    plan = {c: _rounds(sizes[c], c) for c in caps}
+    for k in range(max(map(len, plan.values()), default=0)):
+        spans = {c: r[k] for c, r in plan.items() if k < len(r)}
+        task = 0
         ranges: dict[int, tuple[int, list[int]]] = {}
         for c, (lo, hi) in spans.items():
             ranges[c] = (task, _borders(sizes[c], lo, hi))
-            for _ in ranges[c][1]:
-                first[task] = c
-                task += 1
+            task += len(ranges[c][1])
         place, mine, fits = F.lit(None).cast("int"), F.lit(False), F.lit(False)
         width = F.col("width")
         for c, (t, ends) in ranges.items():
