@@ -6,7 +6,8 @@ that they share a pivot among the nearest |x| - ceil(t|x|) + 1 of each (|x| - ce
 that window is what replicates boundary records, so no pair is lost. Within a region pairs are ruled out by size, by the
 places of the pivot, and by the triangle inequality on bit sketches (each triple flips a bit, so the sketches of two
 records differ in no more bits than the records in triples). Regions of frequent pivots are split into blocks whose pairs
-are joined apart. Pairs that remain are verified on the whole sets.
+are joined apart. Large records are joined in slices of their triples by hash: of two records as similar as t, the parts in
+some slice are as similar, too, so each slice is a join of its own of small sets, for which the sketches are sharp. Pairs that remain are verified on the whole sets.
 
 Rarity comes from a fixed-size frequency table over all records; it decides only how much work there is.
 
@@ -34,6 +35,7 @@ BUCKETS = 1 << 22
 SLICES = 16
 SKETCH_WORDS = 8
 HOT, BLOCK = 4096, 2048
+SLICE_SIZE = 320  # records of more triples are joined in slices: two for up to twice as many, and so on
 COPIES_IN_PAIRS = 1000  # a class of more equal sets is paired with its first member only
 
 _words = re.compile(r"[^\W_]+").findall
@@ -121,8 +123,8 @@ def bit_sketch(elements: np.ndarray) -> np.ndarray:
 
 
 def region_pairs(part: tuple[np.ndarray, ...], t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows sorted by (region, size, key): columns region, n, key, pos, index, block, cross, sketch."""
-    region, n, key, pos, index, block, cross, sketch = part
+    """Candidate pairs of rows sorted by (region, size, key): columns region, n, key, pos, index, block, cross, home, whole, sketch."""
+    region, n, key, pos, index, block, cross, home, whole, sketch = part
     small, large = [], []
     ratio = t / (1 + t)
     at = np.arange(len(region) - 1)
@@ -132,7 +134,8 @@ def region_pairs(part: tuple[np.ndarray, ...], t: float) -> tuple[np.ndarray, np
         at = at[region[at] == region[at + d]]
         i = at[index[at]]
         j = i + d
-        ok = (n[i] >= t * n[j] - 1e-9) & (~cross[i] | (block[i] != block[j]))
+        ok = (n[i] >= t * n[j] - 1e-9) & (~cross[i] | (block[i] != block[j])) & (home[i] | home[j])
+        ok &= np.minimum(whole[i], whole[j]) >= t * np.maximum(whole[i], whole[j]) - 1e-9
         i, j = i[ok], j[ok]
         need = ratio * (n[i] + n[j]) - 1e-9
         ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
@@ -147,41 +150,62 @@ def region_pairs(part: tuple[np.ndarray, ...], t: float) -> tuple[np.ndarray, np
     return (np.concatenate(small), np.concatenate(large)) if small else (none, none)
 
 
+def sliced(elements: np.ndarray, t: float) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """(slicing and slice, home, elements) of a record: in the slices of its own size class, and, as a guest, in those of
+    the next class if its partners may be of that."""
+    n = len(elements)
+    k = 1
+    while n > SLICE_SIZE * k:
+        k *= 2
+    for slices, home in ((k, True), (2 * k, False)):
+        if home or n >= t * SLICE_SIZE * k - 1e-9:
+            which = ((elements >> np.uint64(12)) & np.uint64(slices - 1)).astype(np.int64)
+            for s in range(slices):
+                part = elements[which == s] if slices > 1 else elements
+                if len(part):
+                    yield slices + s, home, part
+
+
+_COLUMNS = ["region", "n", "key", "pos", "index", "block", "cross", "home", "whole"]
+
+
 def candidate_pairs(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
     """Distinct (a, b) keys of sets that may have a similarity of at least t; no pair that has is missing."""
     share = Fraction(t).limit_denominator(1000)
     shared = sets.sparkSession.sparkContext.broadcast(counts)
-    schema = "n int, key bigint, region bigint, pos int, index boolean, block int, cross boolean, sketch binary"
+    schema = "region bigint, n int, key bigint, pos int, index boolean, block int, cross boolean, home boolean, whole int, sketch binary"
+
+    def rows_of(raw: bytes, key: int, often: np.ndarray, cols: list[list], sketches: list[bytes]) -> None:
+        every = np.frombuffer(raw, np.uint64)
+        for place, home, e in sliced(every, t):
+            n = len(e)
+            sketch = bit_sketch(e).tobytes()
+            c = often[(e >> np.uint64(42)).astype(np.int64)].astype(np.int64)
+            order = np.lexsort((e, c))[: n - _least(share, n) + 1]
+            pos = np.flatnonzero(c[order] > 1)  # a bucket with one record holds no pair
+            e, c = e[order][pos], c[order][pos]
+            index = pos <= n - _least(2 * share / (1 + share), n)
+            blocks = np.where(c > HOT, -(-c // BLOCK), 1)
+            mine = key % blocks
+            copies = np.repeat(np.arange(len(e)), blocks)
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            lo, hi = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
+            region = e[copies] + lo.astype(np.uint64) * _K[0] + hi.astype(np.uint64) * _K[2] + np.uint64(place) * _K[1]
+            m = len(copies)
+            for col, x in zip(cols, (region.astype(np.int64), np.full(m, n, np.int32), np.full(m, key), pos[copies].astype(np.int32), index[copies], mine[copies].astype(np.int32), lo != hi, np.full(m, home), np.full(m, len(every), np.int32))):
+                col.append(x)
+            sketches += [sketch] * m
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            sketches: list[bytes] = []
-            for key, raw in zip(b.column("key").to_pylist(), b.column("elements").to_pylist()):
-                e = np.frombuffer(raw, np.uint64)
-                n = len(e)
-                if not n:
-                    continue
-                c = often[(e >> np.uint64(42)).astype(np.int64)].astype(np.int64)
-                order = np.lexsort((e, c))[: n - _least(share, n) + 1]
-                pos = np.flatnonzero(c[order] > 1)  # a bucket with one record holds no pair
-                e, c = e[order][pos], c[order][pos]
-                index = pos <= n - _least(2 * share / (1 + share), n)
-                blocks = np.where(c > HOT, -(-c // BLOCK), 1)
-                mine = key % blocks
-                copies = np.repeat(np.arange(len(e)), blocks)
-                other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                lo, hi = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
-                region = e[copies] + (lo.astype(np.uint64) * _K[0]) + (hi.astype(np.uint64) * _K[2])
-                m = len(copies)
-                s = bit_sketch(np.frombuffer(raw, np.uint64)).tobytes()
-                for col, x in zip(cols, (region.astype(np.int64), np.full(m, n, np.int32), np.full(m, key), pos[copies].astype(np.int32), index[copies], mine[copies].astype(np.int32), lo != hi)):
-                    col.append(x)
-                sketches += [s] * m
-            if sketches:
-                region, n, key, pos, index, block, cross = (np.concatenate(x) for x in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(key), pa.array(region), pa.array(pos), pa.array(index), pa.array(block), pa.array(cross), pa.array(sketches, pa.binary())], ["n", "key", "region", "pos", "index", "block", "cross", "sketch"])
+            for k in range(0, b.num_rows, 500):
+                cols: list[list] = [[] for _ in _COLUMNS]
+                sketches: list[bytes] = []
+                for key, raw in zip(b.column("key").slice(k, 500).to_pylist(), b.column("elements").slice(k, 500).to_pylist()):
+                    rows_of(raw, key, often, cols, sketches)
+                if sketches:
+                    yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in cols], pa.array(sketches, pa.binary())], [*_COLUMNS, "sketch"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
@@ -194,7 +218,7 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            part = tuple(np.asarray(b.column(c)) for c in ("region", "n", "key", "pos", "index", "block", "cross"))
+            part = tuple(np.asarray(b.column(c)) for c in _COLUMNS)
             part += (np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS),)
             if held is not None:
                 part = tuple(np.concatenate(x) for x in zip(held, part))

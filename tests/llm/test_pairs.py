@@ -75,8 +75,9 @@ def jaccard_pairs(rows, t):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_near_duplicates(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, slice_size", [(4096, 320), (3, 320), (4096, 9)])
+def test_near_duplicates(spark, monkeypatch, hot, slice_size):
+    monkeypatch.setattr(neardup, "SLICE_SIZE", slice_size)
     monkeypatch.setattr(neardup, "HOT", hot)
     monkeypatch.setattr(neardup, "BLOCK", max(2, hot // 2))
     rows = [(f"d{i}", "a title" if i % 2 else None, t) for i, t in enumerate(texts(60, 1))]
