@@ -4,15 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, wherever the driver was started."""
+    context, root = spark.sparkContext, Path(__file__).parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    packed = Path(tempfile.mkdtemp(prefix="docsql-")) / "docsql.zip"  # on the driver; Spark copies it from there
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(packed))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A frame that is a plain scan, for work in Python: dealt out when its files are fewer than the cores, else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, else one of our own (local mode only)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -31,6 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
