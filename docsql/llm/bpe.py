@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from docsql.runtime import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 LONG = 256
@@ -231,7 +232,7 @@ def encode_ids(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> D
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
     schema = StructType([docs.schema[c] for c in keep]).add("ids", ArrayType(IntegerType()))
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return spread(docs.select(*keep, text)).mapInArrow(run, schema)
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
@@ -250,4 +251,4 @@ def token_counts(docs: DataFrame, text: str = "text", path: str = VOCABULARY, ou
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType([docs.schema[c] for c in keep]).add(out, LongType())
-    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return spread(docs.select(*keep, text)).mapInArrow(run, schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsql.runtime import spread as dealt
+
 ORDERINGS = 10
 DIMS, BITS = 16, 3
 WINDOW, BLOCK = 768, 768
@@ -165,7 +167,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, least: float = -1.0,
             for x in range(0, len(i), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(i[x : x + 50_000]), pa.array(n[x : x + 50_000]), pa.array(s[x : x + 50_000])], ["id", "neighbour", "similarity"])
 
-    laid = base.mapInArrow(spread, "part int, key bigint, id bigint, asked boolean, v binary")
+    laid = dealt(base).mapInArrow(spread, "part int, key bigint, id bigint, asked boolean, v binary")
     laid = laid.repartitionById(ranges * orderings, F.col("part")).sortWithinPartitions("part", "key", "id")
     found = laid.mapInArrow(windows, "id bigint, neighbour bigint, similarity float")
     best = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))

@@ -8,11 +8,11 @@ import re
 # What scanners take for what, as (read, meant). Their probabilities are estimated from the corpus.
 CONFUSIONS = [
     ("@", "a"), ("†", "t"), ("c", "e"), ("!", "i"), ("5", "s"), ("0", "o"), ("1", "l"), ("ri", "n"), ("9", "g"), ("v", "u"), ("cl", "d"),
-    ("b", "h"), ("vv", "w"), ("rn", "m"), ("$", "s"), ("8", "b"), ("ii", "ü"), ("m", "rn"), ("1", "i"), ("6", "b"), ("li", "h"), ("|", "l"), ("€", "e"),
+    ("b", "h"), ("vv", "w"), ("rn", "m"), ("$", "s"), ("8", "b"), ("ii", "ü"), ("m", "rn"), ("1", "i"), ("6", "b"), ("li", "h"), ("|", "l"), ("€", "e"), ("d", "cl"), ("ﬁ", "fi"), ("ﬂ", "fl"),
 ]
 MARKS = "-­¬‐"
 
-_fold_pairs = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "ü"), ("li", "h")]
+_fold_pairs = [("ri", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "ü"), ("li", "h"), ("ﬁ", "fi"), ("ﬂ", "fl")]
 _fold_chars = str.maketrans("e@†!1|i5$0hv896€", "catllllssobubgbc")
 _roman = re.compile(r"m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 _values = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
