@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsql.plans import analytics, pipelines, records
+from docsql.plans import analytics, assistant, pipelines, records
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [analytics, pipelines, records]
+MODULES = [analytics, assistant, pipelines, records]
 
 
 def queries() -> dict[str, Query]:
