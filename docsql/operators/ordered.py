@@ -6,48 +6,31 @@ one row per partition, which the driver puts right.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsql.runtime import cut
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str = "prev_") -> DataFrame:
-    """df with the values of the row before, within its group; null for a group's first row."""
+def _laid(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df in ranges of (keys, order), with the range's number as __part; written, so that the numbers stay what they are."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id())
-    names = laid.columns
-    added = [prefix + v for v in values]
+    return cut(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            both = pa.Table.from_batches([last, b] if last is not None else [b]).combine_chunks()
-            lead = 0 if last is None else 1
-            key = list(zip(*(both.column(k).to_pylist() for k in keys)))
-            same = [i > 0 and key[i] == key[i - 1] for i in range(len(key))][lead:]
-            take = pa.array([i + lead - 1 if s else None for i, s in enumerate(same)], pa.int64())
-            first = pa.array([last is None and i == 0 for i in range(len(same))])
-            cols = [*[b.column(c) for c in names], *[both.column(v).combine_chunks().take(take) for v in values], first]
-            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], [*names, *added, "__first"])
-            last = b.slice(b.num_rows - 1, 1)
 
-    schema = T.StructType([*laid.schema.fields, *[T.StructField(prefix + v, df.schema[v].dataType) for v in values], T.StructField("__first", T.BooleanType())])
-    out = cut(laid.mapInArrow(run, schema), "ordered")
-    # one row a partition: the last one, for the first row of the next
-    ends = out.groupBy("__part").agg(F.max(F.struct(*keys, *order, *[F.col(v).alias(f"__v_{v}") for v in values])).alias("e")).orderBy("__part").collect()
-    fix = {r["__part"]: prev["e"] for prev, r in zip(ends, ends[1:])}
-    if not fix:
+def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str = "prev_") -> DataFrame:
+    """df with the values of the row before, within its group; null for a group's first row. The order should be total."""
+    laid = _laid(df, keys, order)
+    w = Window.partitionBy(*keys, "__part").orderBy(*order)
+    out = laid.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in values], (F.row_number().over(w) == 1).alias("__first"))
+    # one row a range: its last one, for the first row of the next
+    ends = laid.groupBy("__part").agg(F.max(F.struct(*keys, *order, *[F.col(v).alias(f"__v_{v}") for v in values])).alias("e")).orderBy("__part").collect()
+    rows = [(after["__part"], *[before["e"][k] for k in keys], *[before["e"][f"__v_{v}"] for v in values]) for before, after in zip(ends, ends[1:])]
+    if not rows:
         return out.drop("__part", "__first")
-    rows = [(part, *[e[k] for k in keys], *[e[f"__v_{v}"] for v in values]) for part, e in fix.items()]
     border = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("__part", T.IntegerType()), *[T.StructField(f"__k_{k}", df.schema[k].dataType) for k in keys], *[T.StructField(f"__b_{v}", df.schema[v].dataType) for v in values]]))
-    joined = out.join(F.broadcast(border), "__part", "left")  # as many rows as partitions
+    joined = out.join(F.broadcast(border), "__part", "left")  # as many rows as ranges
     match = F.col("__first")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
@@ -62,15 +45,12 @@ def merged_runs(df: DataFrame, keys: list[str], order: list[str], value: str) ->
     """
     marked = with_previous(df.select(*keys, *order, value).withColumn("__has", F.lit(True)), keys, order, [value, "__has"])
     opens = marked.withColumn("__open", F.when(F.col("prev___has") & F.col(value).eqNullSafe(F.col(f"prev_{value}")), 0).otherwise(1))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = cut(opens.select(*keys, *order, value, "__open").repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id()), "runs")
+    laid = _laid(opens.select(*keys, *order, value, "__open"), keys, order)
     counts = laid.groupBy("__part").agg(F.sum("__open").alias("c")).orderBy("__part").collect()
     start, table = 0, []
     for r in counts:  # one row a partition
         table.append((r[0], start))
         start += r[1]
-    from pyspark.sql import Window
-
     offsets = df.sparkSession.createDataFrame(table, "__part int, __start bigint")
     w = Window.partitionBy("__part").orderBy(*keys, *order).rowsBetween(Window.unboundedPreceding, 0)
     run = laid.withColumn("__n", F.sum("__open").over(w)).join(F.broadcast(offsets), "__part").withColumn("__run", F.col("__start") + F.col("__n"))

@@ -282,8 +282,8 @@ def citation_numbers(s, d):
 def cosine_to_first(s, d):
     """M-1: every vector against the vector of the smallest id"""
     e = embeddings(s, d)
-    first = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(first)).select("vec_id", F.round(numeric.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))  # one row
+    first = e.groupBy().agg(F.min_by("embedding", "vec_id").alias("q")).first()["q"] or []  # one vector
+    return e.select("vec_id", F.round(numeric.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in first])), 6).alias("similarity"))
 
 
 def short_vectors(s, d):
