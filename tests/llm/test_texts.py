@@ -56,9 +56,11 @@ CASES = {
     "tool_ok": [("user", "q"), ("assistant", "", {"toolCalls": [{"id": "c"}]}), ("tool", "r", {"toolCallId": "c"}), ("assistant", "a")],
     "tool_late": [("user", "q"), ("tool", "r", {"toolCallId": "c"}), ("assistant", "a", {"toolCalls": [{"id": "c"}]})],
     "tool_none": [("user", "q"), ("tool", "r"), ("assistant", "a")],
+    "typed": [("user", "q"), ("assistant", 5)],
+    "synthetic_text": [("user", "q"), ("assistant", "a"), ("user", "go on", {"synthetic": "true"})],
     "synthetic": [("user", "q"), ("assistant", "a"), ("user", "go on", {"synthetic": True})],
 }
-EXPECTED = {"two_users": "no_reply", "open": "no_reply", "blank_reply": "no_reply", "starts_wrong": "broken", "blank": "empty", "role": "broken", "tool_late": "broken", "tool_none": "broken", "unknown": "broken", "silent": "empty", "garbage": "broken", "array": "broken", "cut": "broken", "null": "broken"}
+EXPECTED = {"typed": "no_reply", "synthetic_text": "no_reply", "two_users": "no_reply", "open": "no_reply", "blank_reply": "no_reply", "starts_wrong": "broken", "blank": "empty", "role": "broken", "tool_late": "broken", "tool_none": "broken", "unknown": "broken", "silent": "empty", "garbage": "broken", "array": "broken", "cut": "broken", "null": "broken"}
 
 
 def conversation_rows():
