@@ -26,7 +26,7 @@ from docsql.runtime import spread as dealt
 
 ORDERINGS = 10
 DIMS, BITS = 16, 3
-WINDOW, BLOCK = 768, 768
+WINDOW, BLOCK = 1536, 1024
 SAMPLE = 20_000
 ROWS_A_RANGE = 150_000
 SCALE = 32767.0
@@ -100,14 +100,14 @@ class Curves:
                 self.borders[m] = np.sort(self.keys(sample, m))[(np.arange(1, ranges) * len(sample)) // ranges]
 
 
-def best_in_windows(v: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
+def best_in_windows(v: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, least: float, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """(id, neighbour, similarity) of the best k of each asked row among the rows around it."""
     out: list[tuple[np.ndarray, ...]] = []
     for b in range(0, len(v), BLOCK):
         rows = b + np.flatnonzero(asked[b : b + BLOCK])
         if not len(rows):
             continue
-        lo, hi = max(0, b - WINDOW), min(len(v), b + BLOCK + WINDOW)
+        lo, hi = max(0, b - window), min(len(v), b + BLOCK + window)
         sim = v[rows] @ v[lo:hi].T
         if least <= -1 and hi - lo > k + 1:
             near = np.argpartition(-sim, k, axis=1)[:, : k + 1]
@@ -124,10 +124,11 @@ def best_in_windows(v: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, l
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, least: float = -1.0, asked: str = "true", orderings: int = ORDERINGS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, least: float = -1.0, asked: str = "true", orderings: int = ORDERINGS, window: int = WINDOW) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar other vectors of every vector for which `asked` holds.
 
     least: only neighbours of at least this similarity are wanted; the others are dropped before the merge.
+    window: rows compared on both sides; the work is the number of asked rows times the window.
     """
     spark = vectors.sparkSession
     base = vectors.where("id is not null and embedding is not null").select("id", "embedding", F.coalesce(F.expr(asked), F.lit(False)).alias("asked"))
@@ -163,7 +164,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, least: float = -1.0,
         for a, z in zip(edge[:-1], edge[1:]):
             v = q[a:z].astype(np.float32) / np.float32(SCALE)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
-            i, n, s = best_in_windows(v, ids[a:z], want[a:z], k, least)
+            i, n, s = best_in_windows(v, ids[a:z], want[a:z], k, least, window)
             for x in range(0, len(i), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(i[x : x + 50_000]), pa.array(n[x : x + 50_000]), pa.array(s[x : x + 50_000])], ["id", "neighbour", "similarity"])
 
