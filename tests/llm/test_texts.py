@@ -176,3 +176,37 @@ def test_mentions(spark):
     red = {(r["field"], r["record_id"]): r["text"] for r in pii.redacted(i, m).collect()}
     assert red["ingest_documents.content", "t4"] == "We moved to [ADDRESS] last week" and red["messages.message", "1"] == "I am [PERSON]" and red["messages.message", "2"] is None
     assert pii.mentions(i.where("false"), m.where("false")).count() == 0
+
+
+def test_reply_links_of_any_age(spark):
+    """Every earlier message may be the parent: against a walk over the whole thread, with gaps of minutes to weeks."""
+    import datetime as dt
+    import random
+
+    rng, t = random.Random(5), dt.datetime(2024, 1, 1)
+    vocabulary = ["alpha", "bravo", "delta", "gamma", "kappa", "omega", "sigma", "theta"]
+    rows = []
+    for i in range(240):
+        t += dt.timedelta(seconds=rng.choice([20, 300, 3_660, 8_000, 90_000, 900_000]))
+        role = rng.choice(["user", "assistant", "tool"])
+        calls = [f"c{i}"] if role == "assistant" else []
+        call = f"c{rng.randrange(max(1, i))}" if role == "tool" and i % 3 else None
+        rows.append((f"t{i % 2}", i, t, role, " ".join(rng.sample(vocabulary, rng.randrange(5))), call, calls))
+    want = {}
+    for n, (thread, id_, at, role, content, call, _) in enumerate(rows):
+        best = (0.0, None)
+        for thread2, id2, at2, role2, content2, _, calls2 in reversed(rows[:n]):
+            if thread2 != thread:
+                continue
+            words = set(content.split())
+            score = 0.5 ** ((at - at2).total_seconds() / 600) + len(words & set(content2.split())) / (1 + len(words))
+            if call is not None and call in calls2:
+                score += 4
+            elif (role == "user") == (role2 == "user"):
+                score -= 0.75 if role == "user" else 0.25
+            if score > best[0] or best[1] is None and (role == "user") != (role2 == "user"):
+                best = (score, id2)
+        want[id_] = best[1]
+    df = spark.createDataFrame(rows, "thread_id string, id bigint, created_at timestamp, role string, content string, call string, calls array<string>")
+    for span in (3_600, 86_400):
+        assert {r["id"]: r["parent_id"] for r in conversations.reply_links(df, span).collect()} == want
