@@ -3,7 +3,8 @@
 Page furniture is found by layout (see pages.py). The language model are word and word pair counts of all records that are
 not scanned; the channel are the confusions of pages.CONFUSIONS, their probabilities estimated from the words of scanned
 pages that one confusion leads to a known word. A word of a scanned line is a candidate for itself and for the known words
-that up to two confusions lead to; every line with such a word is decoded with Viterbi. A word broken over two lines is
+that up to two confusions lead to, or as many as it has digits and signs (up to MOST_SIGNS); what looks like a code is one
+only if no such word is known, and codes that the other records hold count as words of their own; every line with such a word is decoded with Viterbi. A word broken over two lines is
 joined, or kept with its hyphen, by the likelier of the two words.
 
 Rare words only get candidates: those of a share below RARE of all words, whatever the corpus' size.
@@ -19,7 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,23 +33,37 @@ RARE = 2e-6
 UNSEEN = 0.002  # an unknown word counts as seen so often
 ERRORS = 0.02  # share of misread places, divided among the confusions
 MOST_EDITS, MOST_CANDIDATES = 2, 6
+MOST_SIGNS = 8  # a word of more digits and signs has no readings
 FLUSH = 300_000
 
 _OUTER = ".,;:?()[]{}\"'“”„«»‘’*•…"
 _word = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _code = re.compile(r"[a-z]?\d+[a-z]?-?\d*[a-z]?|[a-z]\d.*|.*\d.*\d.*\d.*|.*@.*[.@].*|https?:.*")
+_digits = re.compile(r"\S*\d\S*")
+_single = {read for read, _ in CONFUSIONS if len(read) == 1}
 LINES = "id string, line_no int, kind string, text string, words array<string>, places array<int>, start string, mark string, rest string, next_line int"
 _LINES = pa.schema([("id", pa.string()), ("line_no", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("words", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("start", pa.string()), ("mark", pa.string()), ("rest", pa.string()), ("next_line", pa.int32())])
 
 
+def signs(word: str) -> list[int]:
+    """Places of the characters that no known word has."""
+    return [i for i, c in enumerate(word) if not (c.isalpha() or c in "-'’")]
+
+
+def readable(word: str) -> bool:
+    """False if no confusions lead from `word` to a word of letters."""
+    at = signs(word)
+    return len(at) <= MOST_SIGNS and all(word[i] in _single for i in at)
+
+
 def tokens(line: str) -> list[tuple[int, str]]:
-    """(place, word) of the words a scanner may have misread: lower case, without outer punctuation; codes and addresses are none."""
+    """(place, word) of the words a scanner may have misread: lower case, without outer punctuation; codes and addresses that can be no word are none."""
     out = []
     for m in re.finditer(r"\S+", line):
         raw = m[0]
         word = raw.strip(_OUTER)
         low = word.lower()
-        if len(word) > 1 and any(c.isalpha() for c in word) and not _code.fullmatch(low):
+        if len(word) > 1 and any(c.isalpha() for c in word) and not (_code.fullmatch(low) and not readable(low)):
             out.append((m.start() + raw.find(word), low))
     return out
 
@@ -93,7 +108,7 @@ def page_lines(docs: DataFrame) -> DataFrame:
 
 
 def language_counts(docs: DataFrame) -> DataFrame:
-    """(word, follower, n) of the records that are not scanned: a null follower counts the word itself."""
+    """(word, follower, n) of the records that are not scanned: a null follower counts the word itself, or a code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one: Counter[str] = Counter()
@@ -111,8 +126,10 @@ def language_counts(docs: DataFrame) -> DataFrame:
                 if content and not is_scanned(content, metadata, source):
                     words = _word.findall(content.lower())
                     one.update(words)
+                    codes = (c.strip(_OUTER) for c in _digits.findall(content.lower()))
+                    one.update(c for c in codes if len(c) > 1 and any(x.isalpha() for x in c) and _code.fullmatch(c) and readable(c))
                     two.update(zip(words, words[1:]))
-                    if len(two) > FLUSH:
+                    if len(two) + len(one) > FLUSH:
                         yield from flush()
         yield from flush()
 
@@ -120,11 +137,20 @@ def language_counts(docs: DataFrame) -> DataFrame:
 
 
 def readings(word: str) -> dict[str, tuple[list[int], int]]:
-    """Words that `word` may have been: up to MOST_EDITS confusions undone. Word to (confusions, place of the first in `word`)."""
+    """Words that `word` may have been. Word to (confusions, place of the first in `word`).
+
+    All its digits and signs are undone, and as many confusions of letters as MOST_EDITS leaves.
+    """
+    must = signs(word)
+    if not readable(word):
+        return {}
     spots = [(i, k) for k, (read, _) in enumerate(CONFUSIONS) for i in range(len(word)) if word.startswith(read, i)]
+    fixed = [[x for x in spots if x[0] == i] for i in must]
+    free = sorted(x for x in spots if x[0] not in must)
     out: dict[str, tuple[list[int], int]] = {}
-    for n in range(1, MOST_EDITS + 1):
-        for chosen in combinations(sorted(spots), n):
+    for n in range(max(0, MOST_EDITS - len(must)) + 1):
+        for some, forced in product(combinations(free, n), product(*fixed)):
+            chosen = sorted((*some, *forced))
             if any(i + len(CONFUSIONS[k][0]) > j for (i, k), (j, _) in zip(chosen, chosen[1:])):
                 continue
             made, at = [], 0
@@ -132,7 +158,7 @@ def readings(word: str) -> dict[str, tuple[list[int], int]]:
                 made += [word[at:i], CONFUSIONS[k][1]]
                 at = i + len(CONFUSIONS[k][0])
             new = "".join(made) + word[at:]
-            if new != word and new not in out:
+            if chosen and new != word and new not in out:
                 out[new] = ([k for _, k in chosen], chosen[0][0])
     return out
 
@@ -189,6 +215,11 @@ def decode(words: list[str], options: dict[int, list[tuple[float, str, int]]], p
     return out[::-1]
 
 
+def _context(words: list[str], hits: set[int]) -> list[int]:
+    """Positions of the words that stand beside each other once the codes between them are left out."""
+    return [i for i, w in enumerate(words) if i in hits or not _code.fullmatch(w)]
+
+
 def _decoded(lines: DataFrame, options: DataFrame, counts: DataFrame, total: float) -> DataFrame:
     """id, line_no, changes (place in the line, word read, word meant): the lines with misread words, decoded."""
     text = lines.where("kind = 'text' and size(words) > 0").select("id", "line_no", "words", "places")
@@ -204,7 +235,8 @@ def _decoded(lines: DataFrame, options: DataFrame, counts: DataFrame, total: flo
                 at = {h["pos"] for h in hits_}
                 for h in hits_:
                     may[h["pos"]] = [o["candidate"] for o in h["options"]]
-                rows += {(id_, no, x, y) for i in range(len(words) - 1) if i in at or i + 1 in at for x in may[i] for y in may[i + 1]}
+                stay = _context(words, at)
+                rows += {(id_, no, x, y) for i, j in zip(stay, stay[1:]) if i in at or j in at for x in may[i] for y in may[j]}
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()))], ["id", "line_no", "word", "follower"])
 
@@ -216,8 +248,9 @@ def _decoded(lines: DataFrame, options: DataFrame, counts: DataFrame, total: flo
             out = {"id": [], "line_no": [], "changes": []}
             for id_, no, words, places, hits_, pairs in zip(*(b.column(c).to_pylist() for c in ("id", "line_no", "words", "places", "hits", "pairs"))):
                 opts = {h["pos"]: [(o["score"], o["candidate"], o["place"]) for o in h["options"]] for h in hits_}
-                best = decode(words, opts, {(p["word"], p["follower"]): p["n"] for p in pairs or []}, total)
-                changes = [{"place": places[i], "word": w, "meant": c} for i, (w, (c, at)) in enumerate(zip(words, best)) if at >= 0]
+                stay = _context(words, set(opts))
+                best = decode([words[i] for i in stay], {n: opts[i] for n, i in enumerate(stay) if i in opts}, {(p["word"], p["follower"]): p["n"] for p in pairs or []}, total)
+                changes = [{"place": places[i], "word": words[i], "meant": c} for i, (c, at) in zip(stay, best) if at >= 0]
                 if changes:
                     out["id"].append(id_)
                     out["line_no"].append(no)

@@ -210,3 +210,19 @@ def test_reply_links_of_any_age(spark):
     df = spark.createDataFrame(rows, "thread_id string, id bigint, created_at timestamp, role string, content string, call string, calls array<string>")
     for span in (3_600, 86_400):
         assert {r["id"]: r["parent_id"] for r in conversations.reply_links(df, span).collect()} == want
+
+
+def test_digits_for_letters_are_read(spark):
+    """Words that look like codes are misread words if a known word may be meant, and codes otherwise."""
+    import datetime as dt
+
+    clean = "The costs of the contract and the form were moved by a plant. Users of the old job inside may pay again. Part a19x is kept.\n"
+    page = "The c0sts of the c0ntract and the f0rm\nwere m0ved by a p1ant of part a19x\nu5ers of the old j0b 1n51de may pay\na9ain and part 7q45 is kept here."
+    rows = [(f"c{i}", "t", "web", "{}", clean * 40, dt.datetime(2024, 1, 1)) for i in range(3)] + [("s", "t", "a.pdf", '{"ocr": true}', page, dt.datetime(2024, 1, 1))]
+    assert [w for _, w in ocr.tokens("c0sts 7q45 https://x.y/1")] == ["c0sts"]
+    assert "inside" in ocr.readings("1n51de") and "costs" in ocr.readings("c0sts")
+    df = spark.createDataFrame(rows, "id string, title string, source string, metadata string, content string, received_at timestamp")
+    _, changes, _ = ocr.judged_lines(df)
+    got = {(c["word"], c["meant"]) for r in changes.collect() for c in r["changes"]}
+    assert {("c0sts", "costs"), ("c0ntract", "contract"), ("f0rm", "form"), ("m0ved", "moved"), ("p1ant", "plant"), ("u5ers", "users"), ("j0b", "job"), ("a9ain", "again")} <= got
+    assert not {w for w, _ in got} & {"a19x", "7q45"}
