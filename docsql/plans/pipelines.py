@@ -95,9 +95,11 @@ def streamed_events(s, d):
 
 def stitched_transcripts(s, d):
     """ST-2: windows cut from the sentences of each text, as overlapping transcripts, stitched again"""
-    t = table(s, d, "documents").where("text is not null and n_chars > 400").select(F.col("doc_id").cast("string").alias("audio_id"), F.slice(F.split("text", r"(?<=[.!?])\s+"), 1, 12).alias("said"))
-    seg = lambda a, z: F.transform(F.filter(F.transform(F.col("said"), lambda x, i: F.struct((i * 5.0).alias("start"), (i * 5.0 + 5).alias("end"), x.alias("text"))), lambda g: (g["start"] >= a) & (g["start"] < z)), lambda g: g)
-    w = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(a + 30.0).alias("end"), seg(a, a + 30.0).alias("segments")) for a in (0.0, 25.0)])
+    t = table(s, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("audio_id"), F.split("text", r"(?<=[.!?])\s+").alias("said"))
+    # a sentence takes 5 s: a window of 30 s has 6, the next begins with the last of them
+    last = F.greatest(F.lit(0), F.ceil((F.size("said") - 6) / 5)).cast("int")
+    seg = lambda k: F.transform(F.slice("said", k * 5 + 1, 6), lambda x, i: F.struct(((k * 5 + i) * 5.0).alias("start"), ((k * 5 + i) * 5.0 + 5).alias("end"), x.alias("text")))
+    w = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k * 25.0).alias("start"), (k * 25.0 + 30).alias("end"), seg(k).alias("segments")))
     return windows.stitched(t.select("audio_id", F.explode(w).alias("w")).select("audio_id", "w.*")).select("audio_id", "start", "end", F.sha2("text", 256).alias("hash"))
 
 

@@ -131,3 +131,15 @@ def test_registry_without_subpackage():
 
     code = "import sys; sys.modules['docsql.llm'] = None\nimport __spark_entry__ as e\nassert not any(q in e.queries() for q in ('p1_found', 'p8_ids')) and 'p4_found' in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(__file__).parents[1]))
+
+
+def test_stitched_transcripts_of_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from docsql.plans import pipelines
+
+    said = {n: [f"Sentence number {k} of {n}." for k in range(n)] for n in (1, 6, 7, 12, 13, 40)}
+    rows = [(n, " ".join(x), sum(map(len, x)) + n - 1) for n, x in said.items()] + [(99, None, None), (98, "", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((int(r["audio_id"]), r["start"], r["end"], r["hash"]) for r in pipelines.stitched_transcripts(spark, str(tmp_path)).collect())
+    assert got == [(n, k * 5.0, k * 5.0 + 5, hashlib.sha256(t.encode()).hexdigest()) for n, x in sorted(said.items()) for k, t in enumerate(x)]
