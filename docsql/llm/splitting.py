@@ -1,8 +1,8 @@
 """Splitting of oversized texts at natural boundaries by recursive bisection.
 
 Line ends are unified and blanks at both ends removed. A text over its limit is cut at the strongest boundary in the
-middle half (headings, then paragraphs, lines, sentences, words; ties by nearness to the middle; the middle itself where
-there is none), and each half that is longer than the limit minus the overlap is cut again. Then every piece but the
+middle half (headings, then paragraphs, lines, sentences, words; ties by nearness to the middle; where there is none, at
+the boundary nearest to the middle, and at the middle itself if the segment has none at all), and each half that is longer than the limit minus the overlap is cut again. Then every piece but the
 first gets the `overlap` characters before it, so no piece exceeds the limit and each repeats the end of the one before.
 
 Defined results: null and blank texts give no pieces; a text within its limit gives one; an overlap of more than half the
@@ -57,6 +57,10 @@ def cuts(text: str, size: int, overlap: int) -> list[int]:
             s = strength[lo:hi]
             near = at[lo:hi][s == s.max()]
             cut = int(near[np.abs(near - middle).argmin()])
+        else:
+            lo, hi = np.searchsorted(at, [a + 1, z])  # none in the middle half: the nearest of the whole segment
+            if hi > lo:
+                cut = int(at[lo:hi][np.abs(at[lo:hi] - middle).argmin()])
         todo += [(cut, z), (a, cut)]
     return done
 

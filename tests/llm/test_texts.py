@@ -226,3 +226,9 @@ def test_digits_for_letters_are_read(spark):
     got = {(c["word"], c["meant"]) for r in changes.collect() for c in r["changes"]}
     assert {("c0sts", "costs"), ("c0ntract", "contract"), ("f0rm", "form"), ("m0ved", "moved"), ("p1ant", "plant"), ("u5ers", "users"), ("j0b", "job"), ("a9ain", "again")} <= got
     assert not {w for w, _ in got} & {"a19x", "7q45"}
+
+
+def test_no_cut_inside_a_run_that_fits():
+    text = "word " * 60 + "x" * 700 + " word" * 60
+    at = splitting.cuts(text, 1200, 150)
+    assert len(text) == 1300 and all(not text[a - 1] + text[a] == "xx" for a in at[1:-1])
