@@ -35,14 +35,20 @@ def _contains(whole: pd.Series, part: pd.Series) -> pd.Series:
 
 
 def json_contains(whole: Column, part: dict) -> Column:
-    """whole @> part. Flat text filters stay in the JVM; nested ones and arrays go through Python."""
-    if all(isinstance(v, str) and "'" not in k and "." not in k for k, v in part.items()):
-        ok = F.lit(True)
-        for k, v in part.items():
-            # the variant keeps the type: a number that reads the same does not match
-            ok = ok & F.coalesce((F.schema_of_variant(F.try_variant_get(F.try_parse_json(whole), f"$['{k}']", "variant")) == "STRING") & (F.try_variant_get(F.try_parse_json(whole), f"$['{k}']", "string") == v), F.lit(False))
-        return ok
-    return F.coalesce(_contains(whole, F.lit(json.dumps(part, sort_keys=True))), F.lit(False))
+    """whole @> part. Texts and arrays of texts are compared as variants in the JVM, which keep their types; deeper filters go through Python."""
+    simple = lambda k, v: "'" not in k and "." not in k and (isinstance(v, str) or isinstance(v, list) and all(isinstance(x, str) for x in v))
+    if not all(simple(k, v) for k, v in part.items()):
+        return F.coalesce(_contains(whole, F.lit(json.dumps(part, sort_keys=True))), F.lit(False))
+    parsed = F.try_parse_json(whole)
+    ok = F.substring(F.schema_of_variant(parsed), 1, 6) == "OBJECT"
+    for k, v in part.items():
+        at = F.try_variant_get(parsed, f"$['{k}']", "variant")
+        if isinstance(v, str):
+            ok = ok & (F.schema_of_variant(at) == "STRING") & (F.try_variant_get(at, "$", "string") == v)
+        else:
+            held = F.filter(F.try_variant_get(at, "$", "array<variant>"), lambda e: F.schema_of_variant(e) == "STRING")
+            ok = ok & held.isNotNull() & F.forall(F.array(*map(F.lit, v)).cast("array<string>"), lambda w: F.exists(held, lambda e: F.try_variant_get(e, "$", "string") == w))
+    return F.coalesce(ok, F.lit(False))
 
 
 def flat_records(value: object) -> bool:
@@ -63,13 +69,21 @@ def _scalar(v: object) -> str:
 
 
 def merge_json(a: Column, b: Column) -> Column:
-    """Shallow merge of two JSON objects of plain fields; the second wins. What is no object counts as empty."""
-    m = "map<string,string>"
-    x, y = (F.coalesce(F.from_json(c, m), F.create_map().cast(m)) for c in (a, b))
+    """Shallow merge of two JSON objects; the second wins. Values keep their types; what is no object counts as empty.
+
+    Equal keys within one object: the last counts. The result has the keys of `a` first.
+    """
+    obj = "map<string,variant>"
+    x, y = (F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", obj), F.create_map().cast(obj)) for c in (a, b))
     kept = F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k))
     return F.to_json(F.map_concat(kept, y))
 
 
+def iso_stamp(at: Column) -> Column:
+    """A time as ISO text in UTC, to the millisecond."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def valid_date(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}") & F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull(), F.lit(False))
 

@@ -403,7 +403,7 @@ SQL: dict[str, str] = {
     "embedding_inputs": "select doc_id, sha256(case when title is not null then title || chr(10) || chr(10) || text else text end) as input_hash from documents",
     "cited": f"with {_MESSAGES} select id, array_to_string(list_distinct(c), ',') as cited from (select id, flatten(list_transform(regexp_extract_all(content, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), lambda g: list_transform(regexp_split_to_array(g, '\\s*,\\s*'), lambda n: n::int))) as c from m) where len(c) > 0",
     "message_flags": f"with {_MESSAGES} select id, "
-    + ", ".join(f"regexp_matches(content, '(?i){'|'.join(f'(?:{p})' for p in ps).replace(chr(39), chr(39) * 2)}') as {n}" for n, ps in (("declines", text.DECLINES), ("injected", detectors.INJECTION), ("reworks", [detectors.REWORK])))
+    + ", ".join(f"regexp_matches(content, '(?i){'|'.join(f'(?:{p})' for p in ps).replace(chr(39), chr(39) * 2)}') as {n}" for n, ps in (("declines", text.DECLINES), ("injected", [detectors.INJECTION]), ("reworks", [detectors.REWORK])))
     + " from m",
     "looping_documents": r"""with s as (select doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')) as s from documents),
         n as (select doc_id, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) as s from s)

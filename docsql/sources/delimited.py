@@ -5,8 +5,9 @@ misquoted. Cells are exploded into (row, column, value) and joined with a rule t
 violations are aggregated per row, and the clean rows are what an anti-join with the faulty ones leaves.
 
 Defined results: a null record is one with no cells, which is of wrong width; an empty record is one empty cell; a row
-of an unknown or null file is rejected as `width`; repeated rows are judged one by one; extra columns are ignored.
-Empty tables give empty results.
+of an unknown or null file is rejected as `width`; a row is told by its id, file, number and text together, so rows that
+share an id or have none are judged apart; rows equal in all four are one fault, and stay as many as they are when they
+load; extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANKS = " \t\r\n\f\u000b ﻿"
-#: A record with more quote characters than this is cut in Python: the regular expression recurses once per "" pair.
+#: A record with more quote characters than this is cut in Python, with the same cells: the regular expression recurses once per "" pair.
 MANY_QUOTES = 2000
 
 # What a cell of each type looks like.
@@ -91,33 +92,40 @@ def _fits(value: Column, kind: Column) -> Column:
 
 
 def parse_records(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """row_id, table_id, row_no, cells, width: cells are raw and null where the quoting is broken.
+    """row_id, table_id, row_no, mark (of the text), width, cells: cells are raw and null where the quoting is broken.
 
     `files` describes the tables, one row each; it is joined as Spark plans it, so its size does not matter.
     """
     f = files.select(F.col("table_id").alias("__t"), F.col("delimiter").alias("__d"), F.size("columns").alias("width")).dropDuplicates(["__t"])
     joined = rows.select("row_id", "table_id", "row_no", F.col("row_text").alias("__r")).join(f, F.col("table_id") == F.col("__t"), "left")
-    return joined.select("row_id", "table_id", "row_no", "width", F.col("__r").isNull().alias("no_text"), _raw_cells(F.col("__r"), F.col("__d")).alias("cells"))
+    return joined.select("row_id", "table_id", "row_no", F.md5("__r").alias("mark"), "width", F.col("__r").isNull().alias("no_text"), _raw_cells(F.col("__r"), F.col("__d")).alias("cells"))
+
+
+ROW = ["row_id", "table_id", "row_no", "mark"]
 
 
 def row_faults(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """(row_id, reason, bad_cells): rows that do not load, with the positions of the cells that do not fit."""
+    """row_id, table_id, row_no, mark, reason, bad_cells: rows that do not load, with the positions of the cells that do not fit."""
     parsed = parse_records(rows, files)
     kinds = files.select(F.col("table_id").alias("__t"), F.posexplode("column_types").alias("column_no", "kind")).dropDuplicates(["__t", "column_no"])
     first = F.when(F.col("width").isNull() | F.col("no_text"), "width").when(F.col("cells").isNull(), "quoting").when(F.size("cells") != F.col("width"), "width")
     judged = parsed.withColumn("__first", first)
     # outer: a row judged by its shape keeps one line without cells, so that one scan serves all reasons
-    exploded = judged.select("row_id", "table_id", "__first", F.posexplode_outer(F.when(F.col("__first").isNull(), F.col("cells"))).alias("column_no", "__c"))
-    cells = exploded.select("row_id", "table_id", "__first", "column_no", _value(F.col("__c")).alias("value"))
+    exploded = judged.select(*ROW, "__first", F.posexplode_outer(F.when(F.col("__first").isNull(), F.col("cells"))).alias("column_no", "__c"))
+    cells = exploded.select(*ROW, "__first", "column_no", _value(F.col("__c")).alias("value"))
     ruled = cells.join(kinds, (F.col("table_id") == F.col("__t")) & (cells["column_no"] == kinds["column_no"]), "left").select(
-        "row_id", "__first", cells["column_no"], (F.col("value").isNotNull() & ~_fits(F.col("value"), F.col("kind"))).alias("bad")
+        *ROW, "__first", cells["column_no"], (F.col("value").isNotNull() & ~_fits(F.col("value"), F.col("kind"))).alias("bad")
     )
     faulty = ruled.where(F.col("bad") | F.col("__first").isNotNull())
-    return faulty.groupBy("row_id").agg(F.coalesce(F.min("__first"), F.lit("value")).alias("reason"), F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("column_no")))).alias("bad_cells"))
+    return faulty.groupBy(*ROW).agg(F.coalesce(F.min("__first"), F.lit("value")).alias("reason"), F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("column_no")))).alias("bad_cells"))
 
 
 def clean_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
     """row_id, table_id, row_no, values: the rows that load, their cells trimmed, unquoted, and null where empty."""
     parsed = parse_records(rows, files).where(F.col("cells").isNotNull() & (F.size("cells") == F.col("width")))
     values = F.transform(F.col("cells"), _value)
-    return parsed.join(row_faults(rows, files), "row_id", "left_anti").select("row_id", "table_id", "row_no", values.alias("values"))
+    bad = row_faults(rows, files).select(*[F.col(c).alias(f"__{c}") for c in ROW])
+    same = F.lit(True)
+    for c in ROW:  # null ids and numbers are values like others
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return parsed.join(bad, same, "left_anti").select("row_id", "table_id", "row_no", values.alias("values"))

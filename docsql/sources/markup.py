@@ -15,9 +15,37 @@ from xml.etree import ElementTree
 DROPPED = {"script", "style", "noscript", "template", "nav", "aside", "svg", "iframe", "form", "button", "select", "canvas", "object"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "ul", "ol", "li", "table", "tr", "blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "address", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "br"}
 CHROME = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog"}
+# The named characters that are decoded; others stay as they stand.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "shy": "",
+    "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "minus": "−",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·",
+    "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "deg": "°", "times": "×", "divide": "÷", "plusmn": "±",
+    "frac12": "½", "frac14": "¼", "frac34": "¾", "sect": "§", "para": "¶", "larr": "←", "rarr": "→", "harr": "↔",
+    "le": "≤", "ge": "≥", "ne": "≠", "check": "✓", "aacute": "á", "agrave": "à", "acirc": "â", "auml": "ä", "aring": "å",
+    "ccedil": "ç", "eacute": "é", "egrave": "è", "ecirc": "ê", "euml": "ë", "iacute": "í", "iuml": "ï", "ntilde": "ñ",
+    "oacute": "ó", "ocirc": "ô", "ouml": "ö", "oslash": "ø", "uacute": "ú", "uuml": "ü", "szlig": "ß",
+    "Aacute": "Á", "Auml": "Ä", "Eacute": "É", "Ouml": "Ö", "Uuml": "Ü", "Ntilde": "Ñ", "Ccedil": "Ç",
+}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
+_AMP = "\ue0a6"  # stands for & while a page is parsed, as the parser would decode names of its own
+_entity = re.compile(r"&(?:#[xX](?P<hex>[0-9a-fA-F]+)|#(?P<dec>[0-9]+)|(?P<name>[A-Za-z][A-Za-z0-9]*));")
+
+
+def decode_entities(text: str) -> str:
+    """Numbered characters and those of ENTITIES, each closed by a semicolon; whatever else begins with & stays."""
+
+    def one(m: re.Match) -> str:
+        if m["name"]:
+            return ENTITIES.get(m["name"], m[0])
+        code = int(m["hex"], 16) if m["hex"] else int(m["dec"])
+        return chr(code) if 0 < code <= 0x10FFFF else m[0]
+
+    return _entity.sub(one, text)
+
+
 @dataclass
 class _List:
     ordered: bool
@@ -135,6 +163,7 @@ class _Markdown(HTMLParser):
             self.line += text.lstrip() if lead else text
 
     def handle_data(self, data: str) -> None:
+        data = decode_entities(data.replace(_AMP, "&"))
         if self.in_title:
             self.title += data
         elif not self.skip and (self.inside or not self.main):
@@ -144,7 +173,7 @@ class _Markdown(HTMLParser):
 def html_to_markdown(html: str) -> tuple[str | None, str]:
     """(title, text): only the main part of a page where it names one."""
     p = _Markdown(bool(re.search(r"<(main|article)[\s>]", html, re.I)))
-    p.feed(html)
+    p.feed(html.replace("&", _AMP))
     p.close()
     p.flush()
     text = re.sub(r"\n{3,}", "\n\n", "\n".join(p.out)).strip()
@@ -169,8 +198,48 @@ def _bare(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+_markup = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<raw>.*?)(?:\]\]>|\Z)|<[?!][^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z_][\w:.-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?)(?P<empty>/)?>|(?P<text>[^<]+|<)", re.S)
+_attribute = re.compile(r"([A-Za-z_][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+
+
+def forgiving_xml(text: str) -> ElementTree.Element:
+    """A tree of whatever is there: open elements are closed at the end, closing tags without an opening one are skipped, bare & and < are text."""
+    root = ElementTree.Element("")
+    path = [root]
+
+    def say(t: str) -> None:
+        top = path[-1]
+        if len(top):
+            top[-1].tail = (top[-1].tail or "") + t
+        else:
+            top.text = (top.text or "") + t
+
+    for m in _markup.finditer(text):
+        if m["raw"] is not None:
+            say(m["raw"])
+        elif m["text"] is not None:
+            say(decode_entities(m["text"]))
+        elif m["tag"]:
+            name = m["tag"].rpartition(":")[2]
+            if m["close"]:
+                at = next((i for i in range(len(path) - 1, 0, -1) if path[i].tag == name), None)
+                del path[at if at is not None else len(path) :]
+                continue
+            attrs = {k.rpartition(":")[2]: decode_entities(next((v for v in vs if v), "")) for k, *vs in _attribute.findall(m["attrs"])}
+            new = ElementTree.SubElement(path[-1], name, attrs)
+            if not m["empty"]:
+                path.append(new)
+    return root[0] if len(root) else root
+
+
 def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
-    return ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
+    if name not in z.namelist():
+        return None
+    data = z.read(name)
+    try:
+        return ElementTree.fromstring(data)
+    except ElementTree.ParseError:
+        return forgiving_xml(data.decode("utf-8-sig", "replace"))
 
 
 def _attr(e: ElementTree.Element | None, name: str) -> str | None:

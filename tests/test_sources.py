@@ -104,3 +104,20 @@ def test_load_isolates_errors(spark):
     assert all(got[p]["kind"] == "error" and got[p]["error"] for p in ("b.doc", "c.bin", "f.txt"))
     assert files.load_binaries(spark.createDataFrame([], "path string, content binary")).count() == 0
     assert F is not None
+
+
+def test_rows_without_and_with_shared_ids(spark):
+    f = spark.createDataFrame([(1, ",", ["a", "b"], ["integer", "text"])], "table_id int, delimiter string, columns array<string>, column_types array<string>")
+    rows = [(None, 1, 1, "x,y"), (None, 1, 2, "1,y"), (7, 1, 3, "x,y"), (7, 1, 4, "2,y"), (8, 1, 5, "x,z"), (8, 1, 5, "x,z"), (9, 1, 6, "3,q"), (9, 1, 6, "3,q")]
+    r = spark.createDataFrame(rows, "row_id bigint, table_id int, row_no bigint, row_text string")
+    bad = sorted(((x["row_id"], x["row_no"], x["reason"]) for x in delimited.row_faults(r, f).collect()), key=str)
+    good = sorted(((x["row_id"], x["row_no"]) for x in delimited.clean_rows(r, f).collect()), key=str)
+    assert bad == [(7, 3, "value"), (8, 5, "value"), (None, 1, "value")]
+    assert good == [(7, 4), (9, 6), (9, 6), (None, 2)]
+
+
+def test_entities_and_forgiving_xml():
+    assert markup.decode_entities("&amp;&#65;&#x42;&Alpha;&amp &eacute;&#0;") == "&AB&Alpha;&amp é&#0;"
+    assert markup.html_to_markdown("<p>a &Alpha; &lt;b&gt; &copy 1</p>")[1] == "a &Alpha; <b> &copy 1"
+    t = markup.forgiving_xml("<?xml version='1.0'?><w:a x='1' w:y=2><b>one & two</c><![CDATA[<raw>]]></b><d/>tail")
+    assert t.tag == "a" and t.attrib == {"x": "1", "y": "2"} and t[0].text == "one & two<raw>" and [c.tag for c in t] == ["b", "d"] and t[1].tail == "tail"
