@@ -12,12 +12,14 @@ text are ordinary text. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from docsql.runtime import spread
 
@@ -205,19 +207,25 @@ class Encoder:
         return flat, total[np.concatenate([[0], np.cumsum(counts)])]
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
-    if id(shared) not in _encoders:
+def _shared(spark: SparkSession, path: str) -> Broadcast:
+    """The pair table with a name of its own: workers outlive a broadcast, so the address of its value names nothing."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, PairTable.load(path)))
+
+
+def _encoder(shared: Broadcast) -> Encoder:
+    name, table = shared.value
+    if name not in _encoders:
         _encoders.clear()
-        _encoders[id(shared)] = Encoder(shared.value)
-    return _encoders[id(shared)]
+        _encoders[name] = Encoder(table)
+    return _encoders[name]
 
 
 def encode_ids(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """docs without `text`, with `ids`. The pair table (50,000 merges at most, about 3 MB) is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(PairTable.load(path))
+    shared = _shared(docs.sparkSession, path)
     keep = [c for c in docs.columns if c not in (text, "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +245,7 @@ def encode_ids(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> D
 
 def token_counts(docs: DataFrame, text: str = "text", path: str = VOCABULARY, out: str = "n_tokens") -> DataFrame:
     """docs without `text`, with its number of tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(PairTable.load(path))
+    shared = _shared(docs.sparkSession, path)
     keep = [c for c in docs.columns if c not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

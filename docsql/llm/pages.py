@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 
 # What scanners take for what, as (read, meant). Their probabilities are estimated from the corpus.
 CONFUSIONS = [
@@ -69,10 +70,18 @@ def page_numbers(lines: list[str]) -> set[int]:
     for (before, after, digits), rows in shaped.items():
         best = [1] * len(rows)
         back = [-1] * len(rows)
+        # by value, the lines where longer and longer chains end: a row looks up three values, not all rows before it
+        ends: dict[int, tuple[list[int], list[int]]] = {}
         for j, (lj, vj) in enumerate(rows):
-            for i, (li, vi) in enumerate(rows[:j]):
-                if 1 <= vj - vi <= 3 and lj - li >= 4 * (vj - vi) and best[i] + 1 > best[j]:
-                    best[j], back[j] = best[i] + 1, i
+            for d in (3, 2, 1):
+                at, who = ends.get(vj - d, ([], []))
+                k = bisect_right(at, lj - 4 * d) - 1
+                if k >= 0 and best[who[k]] + 1 > best[j]:
+                    best[j], back[j] = best[who[k]] + 1, who[k]
+            at, who = ends.setdefault(vj, ([], []))
+            if not who or best[j] > best[who[-1]]:
+                at.append(lj)
+                who.append(j)
         chain = max(range(len(rows)), key=lambda j: best[j])
         marked = bool(before or after)
         sure = {i for i, _ in rows if marked or not digits and len(lines[i].strip("\f \t\r")) > 1}

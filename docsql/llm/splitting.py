@@ -25,7 +25,7 @@ from docsql.runtime import one_per_key
 
 SIZE, OVERLAP = 1200, 150  # fixed values: the defaults of the chunk options
 
-_ends = [(5, re.compile(r"\n(?=#{1,6}[ \t])")), (4, re.compile(r"\n[ \t]*\n[ \t\n]*")), (3, re.compile(r"\n")), (2, re.compile(r"[.!?…。！？][\"'’”)\]]*[ \t]+")), (1, re.compile(r"[ \t\n]+"))]
+_ends = [(5, re.compile(r"\n(?=#{1,6}[ \t])")), (4, re.compile(r"\n[ \t]*\n[ \t\n]*")), (3, re.compile(r"\n")), (2, re.compile(r"[.!?…][\"'’”)\]]*[ \t]+|[。！？][\"'’”)\]」』]*[ \t]*")), (1, re.compile(r"[ \t\n]+"))]
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:

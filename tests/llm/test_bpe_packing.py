@@ -52,12 +52,44 @@ def test_long_pieces_merge_alike(table):
     assert np.array_equal(short, bpe._merge_long(piece, table))
 
 
-@pytest.mark.parametrize("range_size", [50_000, 7])
-def test_packing(spark, monkeypatch, range_size):
-    monkeypatch.setattr(packing, "ITEMS_A_RANGE", range_size)
+def best_fit(sizes, capacity):
+    """Sequential best fit decreasing, one item after the other: the number of containers."""
+    gaps, opened = [], 0
+    for size in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= size]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - size)
+        else:
+            opened += 1
+            gaps.append(capacity - size)
+    return opened
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 39), max_size=80), st.integers(40, 60))
+def test_sweep_is_best_fit(sizes, capacity):
+    histogram = {s: sizes.count(s) for s in set(sizes)}
+    runs = packing.sweep(histogram, capacity)
+    held = {}
+    for s, n in histogram.items():
+        mine = [r for r in runs if r[0] == s]
+        for rank in range(n):
+            _, start, each, first = [r for r in mine if r[1] <= rank][-1]
+            held[first + (rank - start) // each] = held.get(first + (rank - start) // each, 0) + s
+    assert sum(held.values()) == sum(sizes) and max(held.values(), default=0) <= capacity
+    assert len(held) == best_fit(sizes, capacity) and set(held) == set(range(len(held)))
+
+
+def test_sweep_of_many_items_stays_small():
+    assert len(packing.sweep({7: 10**12, 5: 10**12, 3: 10**12}, 100)) < 50
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_packing(spark, parts):
     rng = np.random.default_rng(3)
-    sizes = [0, 1, 10, 10, 100, 101, 250, 99] + [int(x) for x in rng.integers(1, 90, 150)]
-    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id bigint, n_tokens bigint")
+    sizes = [0, 1, 10, 10, 100, 101, 250, 99] + [int(x) for x in rng.integers(1, 90, 150)] + [33] * 70
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id bigint, n_tokens bigint").repartition(parts)
     got = packing.pack(df, [100, 40, None, 0, 40]).toPandas()
     for cap, q in got.groupby("capacity"):
         assert q.groupby("doc_id").n_tokens.sum().to_dict() == dict(enumerate(sizes))
@@ -65,13 +97,22 @@ def test_packing(spark, monkeypatch, range_size):
         cut = q.groupby("doc_id").size()
         assert all((cut[d] > 1) == (sizes[d] > cap) for d in cut.index)
         assert set(q[q.container.isna()].doc_id) == {0}
-        used = q.container.nunique()
-        items = [(int(n), i) for i, n in enumerate(q[q.n_tokens > 0].n_tokens)]
-        best = len({c for _, c in packing.best_fit(items, [], int(cap), "x")[0]})
-        assert used <= best * 1.25 + 1 if range_size == 7 else used == best
+        assert q.container.nunique() == best_fit([int(n) for n in q.n_tokens if n], cap)
     assert packing.pack(df.where("false"), [10]).count() == 0
 
 
+def test_two_vocabularies_in_one_session(spark, tmp_path):
+    import json
+
+    with open(bpe.VOCABULARY, encoding="utf-8") as f:
+        whole = json.load(f)
+    whole["model"]["merges"] = []
+    (tmp_path / "none.json").write_text(json.dumps(whole), encoding="utf-8")
+    df = spark.createDataFrame([(1, "hello world")], "doc_id bigint, text string")
+    for _ in range(6):
+        assert len(bpe.encode_ids(df).first()["ids"]) == 2 and len(bpe.encode_ids(df, path=str(tmp_path / "none.json")).first()["ids"]) == 11
+
+
 def test_containers(spark):
     docs = spark.createDataFrame([(1, "one two three", 0), (1, "one two three", 0), (2, None, 0), (3, "word " * 50, 0), (None, "x", 0)], "doc_id bigint, text string, container int")
     w = spark.createDataFrame([("s", 16), ("t", 16), ("n", None)], "name string, capacity_tokens int")
