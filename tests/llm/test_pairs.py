@@ -46,10 +46,23 @@ def test_nearest(spark):
     assert hilbert.similar_pairs(vectors(spark, [])).count() == 0 and hilbert.similar_pairs(vectors(spark, rows[:1])).count() == 0
 
 
-def test_equal_vectors_cost_a_window(spark):
-    df = vectors(spark, [(i, [1.0] * 64) for i in range(5000)])
-    got = hilbert.nearest(df, asked="id % 500 = 0")
-    assert got.groupBy("id").count().where("count = 5").count() == 10
+def test_equal_vectors_are_one_class(spark):
+    df = vectors(spark, [(i, [1.0] * 64) for i in range(5000)] + [(9000, [1.0] * 63 + [0.5])])
+    got = hilbert.nearest(df, asked="id % 500 = 0").collect()
+    for i in [*range(0, 5000, 500), 9000]:
+        assert [r["neighbour"] for r in sorted((r for r in got if r["id"] == i), key=lambda r: r["rank"])] == [n for n in range(7) if n != i][:5]
+    assert len(got) == 55 and hilbert.similar_pairs(df).count() == 15 + 4994 * 5 + 5
+
+
+def test_dense_cells_are_cut_by_finer_curves():
+    rng = np.random.default_rng(1)
+    near = 1e-4 * rng.standard_normal((6000, 64)) + 3
+    v = np.concatenate([rng.standard_normal((4000, 64)), near]).astype(np.float32)
+    curve = hilbert.Curve(v, np.random.default_rng(2), 10)
+    part, _ = curve.place(v)
+    assert curve.finer and part.max() < curve.ranges and np.bincount(part).max() < 3000
+    spark_free = hilbert.Curve(v[:1], np.random.default_rng(2), 4).place(v)[0]
+    assert len(spark_free) == len(v)
 
 
 def texts(n, seed):
