@@ -36,7 +36,7 @@ SLICES = 16
 SKETCH_WORDS = 8
 HOT, BLOCK = 4096, 2048
 SLICE_SIZE = 320  # records of more triples are joined in slices: two for up to twice as many, and so on
-COPIES_IN_PAIRS = 1000  # a class of more equal sets is paired with its first member only
+COPIES_IN_PAIRS = 1000  # a class of more equal sets stands in pairs by its first member, with which each of the others is paired
 
 _words = re.compile(r"[^\W_]+").findall
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -270,12 +270,14 @@ def similar_records(records: DataFrame, t: float = 0.8, parts: tuple[str, ...] =
     _, members, one = _classes(records, list(parts))
     members = cut(members, "p5-members")
     pairs = similar_sets(one, t)
-    a = members.select(F.col("key").alias("a"), F.col("id").alias("i"))
-    b = members.select(F.col("key").alias("b"), F.col("id").alias("j"))
+    told = members.where((F.col("copies") <= COPIES_IN_PAIRS) | (F.col("id") == F.col("first")))
+    a = told.select(F.col("key").alias("a"), F.col("id").alias("i"))
+    b = told.select(F.col("key").alias("b"), F.col("id").alias("j"))
     between = pairs.select("a", "b").join(a, "a").join(b, "b").select("i", "j")
-    many = members.where("copies > 1")
-    within = many.where((F.col("copies") <= COPIES_IN_PAIRS) | (F.col("id") == F.col("first"))).select("key", F.col("id").alias("i")).join(many.select("key", F.col("id").alias("j")), "key").where("i < j").select("i", "j")
-    return between.unionByName(within).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
+    few = members.where(F.col("copies").between(2, COPIES_IN_PAIRS))
+    within = few.select("key", F.col("id").alias("i")).join(few.select("key", F.col("id").alias("j")), "key").where("i < j").select("i", "j")
+    star = members.where((F.col("copies") > COPIES_IN_PAIRS) & (F.col("id") != F.col("first"))).select(F.col("first").alias("i"), F.col("id").alias("j"))
+    return between.unionByName(within).unionByName(star).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:

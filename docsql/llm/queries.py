@@ -74,10 +74,14 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"))
 
 
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_stretches(table(spark, d, "documents"))
+
+
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_redacted, p5_found, p5_groups, p6_found, p6_repaired, p7_found, p7_conversations, p8_ids, p9_containers, p10_found, p10_shares]
+    found = [p1_found, p1_pieces, p2_found, p2_nearest, p3_found, p3_redacted, p5_found, p5_groups, p6_found, p6_repaired, p7_found, p7_conversations, p8_ids, p9_containers, p10_found, p10_spans, p10_shares]
     return {q.__name__: q for q in found}

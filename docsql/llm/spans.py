@@ -2,14 +2,20 @@
 
 Suffixes are taken at anchors only: of every SPAN - GRAM + 1 neighbouring grams the one of least hash is an anchor, so
 two texts that share SPAN characters share an anchored gram inside them, wherever the span stands. An anchored gram is
-the prefix that assigns the suffixes behind it to a group; a group that is too large for memory is split by longer
-strings, the SPAN-character windows around its anchors. In a group the suffixes are sorted; the longest common prefixes
-of neighbours are the internal nodes of the group's suffix tree, and together with the common text before the anchors
-they give the maximal repeats.
-
-Texts that are equal are one class, searched once. Defined results: null texts and texts shorter than the span share
+the prefix that assigns the suffixes behind it to a group. In a group of up to IN_MEMORY suffixes these are sorted; their
+longest common prefixes give the internal nodes of the group's suffix tree, and below each node the texts before the anchors,
+read backwards, give a second tree. Where both depths together reach SPAN, the members of a node share a stretch: a deep
+node. Prefixes of larger groups grow to SPAN characters, at each of the places the anchor can have within a span; a
+suffix is then in as many groups, and such a group is a deep node as it is. Stretches of neighbouring anchors overlap and
+are put together, so they come out whole, however long.
+
+A deep node is a set of documents, named by its members, so the nodes of one long stretch fall together before any pair
+is made. Sets of two are pairs; larger ones are paired in blocks.
+
+Texts that are equal are one class, searched once; a class of more than COPIES_IN_PAIRS copies stands in pairs by its
+first member, with which each of its copies is paired. Defined results: null texts and texts shorter than the span share
 nothing; repeated rows of an id with one text count once; rows with a null id are ignored; ids are bigint; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsql.runtime import cut
 
 SPAN, GRAM = 200, 100
-IN_MEMORY = 64  # larger groups are split by longer strings
-COPIES_IN_PAIRS = 1000  # a class of more equal texts is paired with its first member only
+IN_MEMORY = 2000  # suffixes of a group that becomes one tree: 2,000 times 300 characters
+BLOCK = 1000  # documents of a set paired in one piece of work
+COPIES_IN_PAIRS = 1000
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 1_000_000
 
@@ -113,24 +121,51 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def group_repeats(group: list[tuple[int, int, str, str]], span: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """Repeats of one group of suffixes (doc, pos, text before the anchor reversed, suffix), as (doc_a, start_a, doc_b, start_b, length)."""
-    group = sorted(group, key=lambda g: (g[3], g[0], g[1]))
-    shared = [_common(a[3], b[3]) for a, b in zip(group, group[1:])]
-    for i, (doc, pos, before, _) in enumerate(group):
-        depth = len(group[i][3])
-        for j in range(i + 1, len(group)):
-            depth = min(depth, shared[j - 1])
-            other, at, ahead, _ = group[j]
-            if other != doc:
-                back = _common(before, ahead)
-                if back + depth >= span:
-                    yield (doc, pos - back, other, at - back, back + depth) if doc < other else (other, at - back, doc, pos - back, back + depth)
-
-
-def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """For docs (doc_id, text) with unequal texts: repeats (doc_a, start_a, doc_b, start_b, length) and, of the groups that
-    were split, windows (window, doc_id, start) that stand in more than one document."""
+def _intervals(shared: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(first, last, depth) of the internal nodes of a tree of sorted strings, whose neighbours share `shared` characters."""
+    open_: list[tuple[int, int]] = []  # (depth, first)
+    for i, depth in enumerate([*shared, -1]):
+        first = i
+        while open_ and open_[-1][0] > depth:
+            d, first = open_.pop()
+            yield first, i, d
+        if depth >= 0 and (not open_ or open_[-1][0] < depth):
+            open_.append((depth, first))
+
+
+def deep_nodes(group: list[tuple[int, int, str, str]], span: int) -> Iterator[tuple[list[int], int, int]]:
+    """(members, back, ahead) of the deep nodes of a group of suffixes (doc, pos, text before the anchor reversed, suffix).
+
+    All members of a node share `back` characters before their anchors and `ahead` behind, and not all of them share more.
+    Members with equal contexts are one leaf; a node is told only when it has more than one document.
+    """
+    leaves: dict[tuple[str, str], list[int]] = {}
+    for i, (_, _, before, suffix) in enumerate(group):
+        leaves.setdefault((suffix, before), []).append(i)
+    keys = sorted(leaves)
+    whole = lambda at: [i for k in at for i in leaves[keys[k]]]
+    several = lambda members: len({group[i][0] for i in members}) > 1
+    for k, (suffix, before) in enumerate(keys):
+        if len(suffix) + len(before) >= span and several(whole([k])):
+            yield whole([k]), len(before), len(suffix)
+    shared = [_common(a[0], b[0]) for a, b in zip(keys, keys[1:])]
+    for first, last, ahead in _intervals(shared):
+        behind = sorted(range(first, last + 1), key=lambda k: keys[k][1])
+        common = [_common(keys[i][1], keys[j][1]) for i, j in zip(behind, behind[1:])]
+        if ahead + max(common) < span:
+            continue
+        for a, z, back in _intervals(common):
+            part = behind[a : z + 1]
+            # where all of them share more behind the anchor, a node further down tells them
+            if back + ahead >= span and min(shared[min(part) : max(part)]) == ahead:
+                members = whole(part)
+                if several(members):
+                    yield members, back, ahead
+
+
+def shared_nodes(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """For docs (doc_id, text) with unequal texts: node, doc_id, start, length. The documents of a node have `length`
+    characters in common, from their starts on; a node is named by its documents."""
     long = docs.where(F.length("text") >= span)
     marks = cut(_anchor_rows(long, span, gram), "p10-anchors")
     stat = marks.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", (F.col("n") > IN_MEMORY).alias("large"))
@@ -149,37 +184,59 @@ def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> tuple[D
         key, group = None, []
         out: list[tuple] = []
 
+        def tell() -> None:
+            for members, back, ahead in deep_nodes(group, span):
+                names = np.unique(np.array([group[i][0] for i in members], np.int64))
+                node = xxhash.xxh128_digest(names.tobytes())
+                out.extend((node, group[i][0], group[i][1] - back, back + ahead) for i in members)
+
         def rows() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["doc_a", "start_a", "doc_b", "start_b", "length"])
+            r = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["node", "doc_id", "start", "length"])
             out.clear()
             return r
 
         for b in batches:
             for g, *rest in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "pos", "before", "suffix"))):
                 if g != key:
-                    out.extend(group_repeats(group, span))
+                    tell()
                     key, group = g, []
+                    if len(out) > 50_000:
+                        yield rows()
                 group.append(tuple(rest))
             yield rows()
-        out.extend(group_repeats(group, span))
+        tell()
         yield rows()
 
     small = around.where("not large").repartition("gram").sortWithinPartitions("gram")
-    repeats = small.mapInArrow(trees, "doc_a bigint, start_a bigint, doc_b bigint, start_b bigint, length bigint")
+    nodes = small.mapInArrow(trees, "node binary, doc_id bigint, start bigint, length bigint")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two hashes of every run of `span` characters around the anchors, from the characters themselves."""
         for b in batches:
             for doc, pos, before, suffix in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pos", "before", "suffix"))):
-                text = before[::-1] + suffix
-                start = pos - len(before) + np.arange(len(text) - span + 1)
-                if len(start):
-                    h = [text[i : i + span] for i in range(len(start))]
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(start), doc)), pa.array(start)], ["text", "doc_id", "start"])
-
-    wide = around.where("large").mapInArrow(windows, "text string, doc_id bigint, start bigint").select(F.xxhash64("text").alias("window"), "doc_id", "start").distinct()
-    wide = cut(wide, "p10-windows")
-    often = wide.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("window")
-    return repeats, wide.join(often, "window", "left_semi")
+                chars = np.frombuffer((before[::-1] + suffix).encode("utf-32-le", "surrogatepass"), np.uint32)
+                h = window_hashes(chars, span)
+                if len(h):
+                    other = window_hashes(chars.astype(np.uint64) * chars.astype(np.uint64) + np.uint64(12345), span)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(other.astype(np.int64)), pa.array(np.full(len(h), doc)), pa.array(pos - len(before) + np.arange(len(h), dtype=np.int64))], ["h", "g", "doc_id", "start"])
+
+    wide = cut(around.where("large").mapInArrow(windows, "h bigint, g bigint, doc_id bigint, start bigint").distinct(), "p10-windows")
+    sets = wide.select("h", "g", "doc_id").distinct().groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    sets = sets.where("n > 1").select("h", "g", F.unhex(F.md5(F.concat_ws(" ", "n", "lo", "hi", "x", "y"))).alias("node"))
+    return nodes.unionByName(wide.join(sets, ["h", "g"]).select("node", "doc_id", "start", F.lit(span).cast("bigint").alias("length")))
+
+
+def node_pairs(nodes: DataFrame) -> DataFrame:
+    """(doc_a, doc_b), the smaller id first, of the documents of each node (node, doc_id), each pair once."""
+    members = cut(nodes.select("node", "doc_id").distinct(), "p10-nodes")
+    size = members.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_a"), F.max("doc_id").alias("doc_b"))
+    two = size.where("n = 2").select("doc_a", "doc_b")
+    # larger sets in blocks: a document goes to every block, and meets the ones that the block holds
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = members.join(size.where("n > 2").select("node", blocks.alias("blocks")), "node")
+    all_ = large.select("node", F.col("doc_id").alias("doc_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    own = large.select("node", F.col("doc_id").alias("doc_b"), F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("bigint")).cast("int").alias("block"))
+    return two.unionByName(all_.join(own, ["node", "block"]).where("doc_a < doc_b").select("doc_a", "doc_b")).distinct()
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
@@ -195,8 +252,8 @@ def _distinct_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def expand_copies(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (doc_a, doc_b) of first members as pairs of all members of their classes, smaller id first."""
-    many = classes.where("copies > 1").select("first", "doc_id")
+    """Pairs (doc_a, doc_b) of first members as pairs of all members of their classes, smaller id first; see COPIES_IN_PAIRS."""
+    many = classes.where(F.col("copies").between(2, COPIES_IN_PAIRS)).select("first", "doc_id")
     wide = pairs
     for side in ("doc_a", "doc_b"):
         m = many.select(F.col("first").alias(side), F.col("doc_id").alias("__m"))
@@ -205,36 +262,50 @@ def expand_copies(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def copy_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs within the classes of equal texts: all pairs, in a class of more than COPIES_IN_PAIRS its first with each other."""
+    """Pairs within the classes of equal texts: all, or of a class of more than COPIES_IN_PAIRS its first with each other."""
     many = classes.where("copies > 1")
-    a, b = many.select(F.col("first"), F.col("doc_id").alias("doc_a"), "copies"), many.select("first", F.col("doc_id").alias("doc_b"))
-    return a.where((F.col("copies") <= COPIES_IN_PAIRS) | (F.col("doc_a") == F.col("first"))).join(b, "first").where("doc_a < doc_b").select("doc_a", "doc_b")
+    a, b = many.select(F.col("first"), F.col("doc_id").alias("doc_a"), "copies").where(F.col("copies") <= COPIES_IN_PAIRS), many.where(F.col("copies") <= COPIES_IN_PAIRS).select("first", F.col("doc_id").alias("doc_b"))
+    star = many.where((F.col("copies") > COPIES_IN_PAIRS) & (F.col("doc_id") != F.col("first"))).select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    return a.join(b, "first").where("doc_a < doc_b").select("doc_a", "doc_b").unionByName(star)
 
 
 def sharing_pairs(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_a, doc_b), the smaller id first: documents with at least `span` characters in a row in common."""
     docs = docs.where(F.length("text") >= span)
     classes = cut(text_classes(docs), "p10-classes")
-    repeats, wide = shared_spans(_distinct_texts(docs, classes), span)
-    other = wide.select("window", F.col("doc_id").alias("doc_b"))
-    split = wide.select("window", F.col("doc_id").alias("doc_a")).join(other, "window").where("doc_a < doc_b")
-    pairs = repeats.select("doc_a", "doc_b").unionByName(split.select("doc_a", "doc_b")).distinct()
+    pairs = node_pairs(shared_nodes(_distinct_texts(docs, classes), span))
     return expand_copies(pairs, classes).unionByName(copy_pairs(classes))
 
 
+def _stretches(docs: DataFrame, classes: DataFrame, span: int) -> DataFrame:
+    """doc_id, start, finish: the stretches of first members of `classes` that stand elsewhere, overlapping ones put together."""
+    parts = shared_nodes(_distinct_texts(docs, classes), span).groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("length")).alias("finish"))
+    w = Window.partitionBy("doc_id").orderBy("start")
+    upto = F.max("finish").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = parts.withColumn("__new", F.coalesce(F.col("start") > upto, F.lit(True)).cast("int"))
+    runs = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "__run").agg(F.min("start").alias("start"), F.max("finish").alias("finish")).drop("__run")
+
+
+def shared_stretches(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """doc_id, start, length: every stretch of a text that stands word for word in other documents, in one piece.
+
+    A stretch may come from several others, each of which shares at least `span` characters of it; of a text with copies
+    the whole is one stretch.
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text").where(F.length("text") >= span).distinct()
+    classes = cut(text_classes(docs), "p10-classes")
+    own = _stretches(docs, classes, span).withColumnRenamed("doc_id", "first")
+    single = classes.where("copies = 1").join(own, "first").select("doc_id", "start", (F.col("finish") - F.col("start")).alias("length"))
+    whole = docs.join(classes.where("copies > 1").select("doc_id"), "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("start"), F.length("text").cast("bigint").alias("length"))
+    return single.unionByName(whole)
+
+
 def shared_shares(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_chars, shared_chars, share: how much of each document stands in another one, in spans of at least `span` characters."""
     docs = docs.where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
     classes = cut(text_classes(docs.where(F.length("text") >= span)), "p10-classes")
-    repeats, wide = shared_spans(_distinct_texts(docs, classes), span)
-    parts = (
-        repeats.select(F.col("doc_a").alias("doc_id"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e"))
-        .unionByName(repeats.select(F.col("doc_b").alias("doc_id"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e")))
-        .unionByName(wide.select("doc_id", F.col("start").alias("s"), (F.col("start") + span).alias("e")))
-    )
-    parts = parts.groupBy("doc_id", "s").agg(F.max("e").alias("e"))
-    w = Window.partitionBy("doc_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    covered = parts.withColumn("p", F.coalesce(F.max("e").over(w), F.lit(0))).groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "p"))).alias("c"))
+    covered = _stretches(docs, classes, span).groupBy("doc_id").agg(F.sum(F.col("finish") - F.col("start")).alias("c"))
     of_first = classes.join(covered.withColumnRenamed("doc_id", "first"), "first", "left")
     n = F.length("text")
     known = docs.select("doc_id", F.coalesce(n, F.lit(0)).alias("n_chars")).join(of_first, "doc_id", "left")

@@ -113,6 +113,7 @@ def test_many_copies_star(spark, monkeypatch):
 
 @pytest.mark.parametrize("in_memory", [64, 1])
 def test_shared_spans(spark, monkeypatch, in_memory):
+    monkeypatch.setattr(spans, "BLOCK", 2)
     monkeypatch.setattr(spans, "IN_MEMORY", in_memory)
     r = random.Random(2)
     rnd = lambda n: "".join(r.choice("abcdefgh é🙂") for _ in range(n))
@@ -123,10 +124,27 @@ def test_shared_spans(spark, monkeypatch, in_memory):
     exact = {(a, b) for a, b in itertools.combinations(sorted(have), 2) if have[a] & have[b]}
     assert {tuple(x) for x in spans.sharing_pairs(df).collect()} == exact
     got = {x["doc_id"]: x for x in spans.shared_shares(df).collect()}
+    stretches = spans.shared_stretches(df).collect()
     for i, t in rows:
         cover = np.zeros(len(t or ""), bool)
         for k in range(len(t or "") - 199):
             if any(t[k : k + 200] in h for j, h in have.items() if j != i):
                 cover[k : k + 200] = True
+        held = {(x["start"], x["length"]) for x in stretches if x["doc_id"] == i}
+        edges = np.flatnonzero(np.diff(np.r_[False, cover, False].astype(int)))
+        assert sum(n for _, n in held) == cover.sum() and {a for a, _ in held} >= set(edges[::2].tolist())
         assert got[i]["shared_chars"] == cover.sum() and got[i]["share"] == pytest.approx(cover.mean() if len(cover) else 0)
     assert spans.sharing_pairs(df.where("false")).count() == 0
+
+
+def test_classes_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(spans, "COPIES_IN_PAIRS", 3)
+    monkeypatch.setattr(neardup, "COPIES_IN_PAIRS", 3)
+    r = random.Random(4)
+    base = " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(80))
+    rows = [(i, base) for i in range(6)] + [(10, base + " x1"), (11, base + " x1"), (20, "other " * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    star = {(0, i) for i in range(1, 6)} | {(0, 10), (0, 11), (10, 11)}
+    assert {tuple(x) for x in spans.sharing_pairs(df).collect()} == star
+    records = df.selectExpr("cast(doc_id + 100 as string) as id", "text as content", "cast(null as string) as title", "current_timestamp() as received_at")
+    assert {(int(a) - 100, int(b) - 100) for a, b in neardup.similar_records(records, 0.6).collect()} == star
