@@ -7,9 +7,13 @@ that window is what replicates boundary records, so no pair is lost. Within a re
 places of the pivot, and by the triangle inequality on bit sketches (each triple flips a bit, so the sketches of two
 records differ in no more bits than the records in triples). Regions of frequent pivots are split into blocks whose pairs
 are joined apart. Large records are joined in slices of their triples by hash: of two records as similar as t, the parts in
-some slice are as similar, too, so each slice is a join of its own of small sets, for which the sketches are sharp. Pairs that remain are verified on the whole sets.
+some slice are as similar, too, so each slice is a join of its own of small sets, for which the sketches are sharp. Pairs
+that remain are verified on the whole sets.
 
-Rarity comes from a fixed-size frequency table over all records; it decides only how much work there is.
+Rarity comes from a frequency table over all records: counts by hash bucket, a byte each, exact up to 31 and in steps of
+an eighth of a power of two beyond. It has twice as many buckets as there are triples, LEAST_BITS to MOST_BITS bits (64 MB at
+the most), so a triple that stands in one record is mostly known as such and replicates nothing. The table decides only how
+much work there is, never which pairs come out.
 
 Defined results: a null title or content is empty; a record of fewer than three words resembles nothing; repeated rows
 of an id count once (the one received last); rows with a null id are ignored; equal sets are one class, searched once; an
@@ -31,8 +35,9 @@ from pyspark.sql import functions as F
 
 from docsql.runtime import cut, one_per_key
 
-BUCKETS = 1 << 22
+LEAST_BITS, MOST_BITS = 16, 26
 SLICES = 16
+COUNTED = 4_000_000  # triples a task counts before it hands the counts on
 SKETCH_WORDS = 8
 HOT, BLOCK = 4096, 2048
 SLICE_SIZE = 320  # records of more triples are joined in slices: two for up to twice as many, and so on
@@ -81,19 +86,42 @@ def record_sets(records: DataFrame, parts: list[str]) -> DataFrame:
     return records.select("id", text.alias("text")).mapInArrow(run, "id string, n int, key bigint, elements binary")
 
 
-def frequency_table(sets: DataFrame) -> np.ndarray:
-    """How many sets have an element of each of BUCKETS hash buckets. Its size is fixed: 16 MB."""
-    size = BUCKETS // SLICES
+class Frequencies:
+    """How many sets have an element of each of 2 ** bits hash buckets, as codes of one byte."""
+
+    def __init__(self, bits: int, codes: np.ndarray):
+        self.bits, self.codes = bits, codes
+        k = np.arange(256)
+        self.counts = np.where(k < 32, k, 32 * 2.0 ** ((k - 32) / 8)).astype(np.int64)
+
+    @staticmethod
+    def code(counts: np.ndarray) -> np.ndarray:
+        big = 32 + np.floor(8 * np.log2(np.maximum(counts, 32) / 32))
+        return np.minimum(np.where(counts < 32, counts, big), 255).astype(np.uint8)
+
+    def of(self, elements: np.ndarray) -> np.ndarray:
+        return self.counts[self.codes[(elements >> np.uint64(64 - self.bits)).astype(np.int64)]]
+
+
+def frequency_table(sets: DataFrame) -> Frequencies:
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (2 * int(total)).bit_length()))
+    size = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int32)
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int32), np.empty(0, np.int64))
+            held.clear()
+            for a in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000]), pa.array(n[a : a + 100_000].astype(np.int32))], ["bucket", "n"])
+
         for b in batches:
-            e = np.frombuffer(b"".join(b.column("elements").to_pylist()), np.uint64)
-            at, n = np.unique((e >> np.uint64(42)).astype(np.int64), return_counts=True)
-            total[at] += n.astype(np.int32)
-        at = np.flatnonzero(total).astype(np.int32)
-        for a in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000]), pa.array(total[at[a : a + 100_000]])], ["bucket", "n"])
+            held.append((np.frombuffer(b"".join(b.column("elements").to_pylist()), np.uint64) >> np.uint64(64 - bits)).astype(np.int32))
+            if sum(map(len, held)) > COUNTED:
+                yield from flush()
+        yield from flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -102,15 +130,15 @@ def frequency_table(sets: DataFrame) -> np.ndarray:
             for s in np.unique(at // size):
                 mine = at // size == s
                 total.setdefault(int(s), np.zeros(size, np.int64))
-                np.add.at(total[int(s)], at[mine] % size, n[mine])
+                total[int(s)] += np.bincount(at[mine] % size, n[mine], minlength=size).astype(np.int64)
         for s, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([Frequencies.code(x).tobytes()], pa.binary())], ["slice", "codes"])
 
     rows = sets.select("elements").mapInArrow(count, "bucket int, n int").repartitionById(SLICES, F.floor(F.col("bucket") / size).cast("int"))
-    out = np.zeros(BUCKETS, np.int32)
-    for r in rows.mapInArrow(add, "slice int, counts binary").collect():  # SLICES rows, 16 MB together
-        out[r[0] * size : (r[0] + 1) * size] = np.frombuffer(r[1], np.int32)
-    return out
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.mapInArrow(add, "slice int, codes binary").collect():  # SLICES rows, 64 MB together at the most
+        out[r[0] * size : (r[0] + 1) * size] = np.frombuffer(r[1], np.uint8)
+    return Frequencies(bits, out)
 
 
 def _least(share: Fraction, n: int) -> int:
@@ -169,18 +197,18 @@ def sliced(elements: np.ndarray, t: float) -> Iterator[tuple[int, bool, np.ndarr
 _COLUMNS = ["region", "n", "key", "pos", "index", "block", "cross", "home", "whole"]
 
 
-def candidate_pairs(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
+def candidate_pairs(sets: DataFrame, counts: Frequencies, t: float) -> DataFrame:
     """Distinct (a, b) keys of sets that may have a similarity of at least t; no pair that has is missing."""
     share = Fraction(t).limit_denominator(1000)
     shared = sets.sparkSession.sparkContext.broadcast(counts)
     schema = "region bigint, n int, key bigint, pos int, index boolean, block int, cross boolean, home boolean, whole int, sketch binary"
 
-    def rows_of(raw: bytes, key: int, often: np.ndarray, cols: list[list], sketches: list[bytes]) -> None:
+    def rows_of(raw: bytes, key: int, often: Frequencies, cols: list[list], sketches: list[bytes]) -> None:
         every = np.frombuffer(raw, np.uint64)
         for place, home, e in sliced(every, t):
             n = len(e)
             sketch = bit_sketch(e).tobytes()
-            c = often[(e >> np.uint64(42)).astype(np.int64)].astype(np.int64)
+            c = often.of(e)
             order = np.lexsort((e, c))[: n - _least(share, n) + 1]
             pos = np.flatnonzero(c[order] > 1)  # a bucket with one record holds no pair
             e, c = e[order][pos], c[order][pos]
@@ -190,7 +218,7 @@ def candidate_pairs(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
             copies = np.repeat(np.arange(len(e)), blocks)
             other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             lo, hi = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
-            region = e[copies] + lo.astype(np.uint64) * _K[0] + hi.astype(np.uint64) * _K[2] + np.uint64(place) * _K[1]
+            region = e[copies] + lo.astype(np.uint64) * _K[0] + hi.astype(np.uint64) * _K[2] + np.array([place], np.uint64) * _K[1]  # arrays wrap around
             m = len(copies)
             for col, x in zip(cols, (region.astype(np.int64), np.full(m, n, np.int32), np.full(m, key), pos[copies].astype(np.int32), index[copies], mine[copies].astype(np.int32), lo != hi, np.full(m, home), np.full(m, len(every), np.int32))):
                 col.append(x)

@@ -88,8 +88,17 @@ def jaccard_pairs(rows, t):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("hot, slice_size", [(4096, 320), (3, 320), (4096, 9)])
-def test_near_duplicates(spark, monkeypatch, hot, slice_size):
+def test_frequencies_are_coded_in_a_byte():
+    n = np.array([0, 1, 2, 31, 32, 33, 1000, 10**6, 2**31, 2**40])
+    f = neardup.Frequencies(16, neardup.Frequencies.code(n))
+    back = f.counts[f.codes]
+    assert (back[:5] == n[:5]).all() and (back[:9] <= n[:9]).all() and (back[:8] * 1.1 >= n[:8]).all()
+
+
+@pytest.mark.parametrize("hot, slice_size, bits", [(4096, 320, 26), (3, 320, 26), (4096, 9, 26), (3, 320, 4)])
+def test_near_duplicates(spark, monkeypatch, hot, slice_size, bits):
+    monkeypatch.setattr(neardup, "MOST_BITS", bits)
+    monkeypatch.setattr(neardup, "LEAST_BITS", min(16, bits))
     monkeypatch.setattr(neardup, "SLICE_SIZE", slice_size)
     monkeypatch.setattr(neardup, "HOT", hot)
     monkeypatch.setattr(neardup, "BLOCK", max(2, hot // 2))
