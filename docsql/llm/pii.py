@@ -1,28 +1,32 @@
 """Personal information inside free text: bootstrapped contextual extraction.
 
-Seeds (names behind a courtesy title; numbers, mail and street addresses of a well-known shape) induce lexical patterns,
-the words before and behind them. Spark scores the graph of patterns and instances in rounds: a pattern is as good as the
-share of its instances that are known, an instance is accepted when good patterns agree on it. The patterns and given
-names that are left find identifiers that no seed shape covers, and names that stand without any title.
+Seeds (names behind a courtesy title; numbers and street addresses of a well-known shape) induce lexical patterns, the
+words before and behind them. Spark scores the graphs of patterns and instances in rounds: a pattern is as good as the share
+of its instances that are known, an instance is accepted when good patterns agree on it. Instances are given names, and for
+numbers their shapes. The patterns and given names that are left find identifiers that no seed shape covers, and names that
+stand without any title.
 
-The model holds at most MODEL_ENTRIES given names and patterns each, the best scored ones; that bounds what is broadcast.
+The model is a table of all accepted names and patterns. One of up to BROADCAST_ENTRIES entries is sent to the workers; a
+larger one stays a table, and each text is joined with the entries whose words it holds. Both ways give the same mentions.
 
 Defined results: null texts, blank texts, and messages that are no JSON object with a text `content` hold no mentions;
 repeated rows of an id count once; rows with a null id are ignored; mentions do not overlap (of two, the one that begins
-first counts, then the longer); an empty table gives an empty result; further columns are ignored.
+first counts, then the longer); names beside which a pattern stands are at most 60 characters long; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsql.runtime import cut, spread
@@ -30,7 +34,8 @@ from docsql.runtime import cut, spread
 ROUNDS = 3
 GOOD_PATTERN, SURE_PATTERN, LEAST_SUPPORT = 0.6, 0.98, 3  # only a sure pattern finds names by itself
 GOOD_INSTANCE = 0.3
-MODEL_ENTRIES = 20_000
+GOOD_SHAPE = 0.9  # share of a number shape's places that good patterns must hold
+BROADCAST_ENTRIES = 300_000  # about 30 MB
 FLUSH = 200_000
 
 # Courtesy titles, street words, and well-known shapes of numbers.
@@ -53,7 +58,6 @@ _family = r"(?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zà-öø
 NAME = re.compile(rf"(?<![\w@.+-])(?:(?P<g>{_given})(?: [A-Z]\.)*[ \n](?P<f>{_family})|(?P<f2>{_family}),[ \n](?P<g2>{_given})(?: [A-Z]\.)?|(?P<i>[A-Z]\.)(?: [A-Z]\.)* (?P<f3>{_family}))(?![\w@]|[.+-]\w)")
 _lower = re.compile(r"(?P<g>[^\W\d_]+(?:-[^\W\d_]+)?)(?: [a-z]\.)?[ \n](?P<f>[^\W\d_]+(?:-[^\W\d_]+)*)(?![\w@]|[.+-]\w)")
 _at = re.compile(r"@| ?\[at\] ?| ?\(at\) ?", re.I)
-_local = re.compile(r"[^\W_](?:[\w.+-]*\w)?[ ]?$|[^\W_]$")
 _host = re.compile(r" ?[^\W_](?:[\w-]*\w)?(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?)[^\W_](?:[\w-]*\w)?)+", re.I)
 _before = re.compile(r"(\S+)\s+(\S+)\s*[(<\"']?$|(\S+)\s*[(<\"']?$")
 _after = re.compile(r"\s*([,;:)]?\s*\S+(?:\s+\S+)?)")
@@ -68,7 +72,23 @@ def _left(text: str, at: int) -> str:
 
 
 def _right(text: str, at: int) -> str:
-    return re.sub(r"\d+", "#", " ".join(text[at : at + 40].split(maxsplit=3)[:3]).lower())
+    """The words behind a place, three at most and whole ones only."""
+    window = text[at : at + 40]
+    words = window.split(maxsplit=3)
+    if len(words) <= 3 and at + 40 < len(text) and not window[-1:].isspace() and not text[at + 40].isspace():
+        words = words[:-1]
+    return re.sub(r"\d+", "#", " ".join(words[:3]).lower())
+
+
+def _local(text: str, at: int) -> tuple[int, int] | None:
+    """(start, end) of the local part of an address whose sign stands at `at`, however long; a blank may part them."""
+    end = at - (text[at - 1 : at] == " ")
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+        start -= 1
+    while start < end and not text[start].isalnum():
+        start += 1
+    return (start, end) if start < end and (text[end - 1].isalnum() or text[end - 1] == "_") else None
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -76,9 +96,9 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         host = _host.match(text, m.end())
         if not host:
             continue
-        local = _local.search(text, max(0, m.start() - 80), m.start())
-        if local and (m[0] != "@" or (local[0][-1] == " ") == (host[0][0] == " ")):
-            yield local.start(), host.end()
+        local = _local(text, m.start())
+        if local and (m[0] != "@" or (local[1] < m.start()) == (host[0][0] == " ")):
+            yield local[0], host.end()
 
 
 @dataclass
@@ -87,6 +107,19 @@ class Model:
     left: dict[str, dict[str, float]] = field(default_factory=dict)  # kind to pattern to score
     right: dict[str, float] = field(default_factory=dict)
 
+    @classmethod
+    def of(cls, rows: Iterable[tuple[str, str, float]]) -> Model:
+        """rows: (kind, key, score), where kind is given, right, or left: and the kind of what stands behind."""
+        m = cls()
+        for kind, key, score in rows:
+            if kind == "given":
+                m.given[key] = score
+            elif kind == "right":
+                m.right[key] = score
+            else:
+                m.left.setdefault(kind.removeprefix("left:"), {})[key] = score
+        return m
+
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for g in self.given:
@@ -146,7 +179,7 @@ class Finder:
             elif kind == "left":
                 if not a or not low[a - 1].isalnum():
                     starts.add(-z)
-            else:
+            elif z == len(low) or low[z].isspace():
                 starts.add(-max(0, a - 60) or 0)
                 for m in NAME.finditer(text, max(0, a - 60), a):
                     if m.end() == a or text[m.end() : a].strip() == "":
@@ -257,7 +290,7 @@ def body_text(field_: str, body: str) -> str | None:
 
 
 def observations(texts: DataFrame) -> DataFrame:
-    """(kind, left, right, first, n): what stands where: names with their given name, and numbers and addresses of known shape ("seed") or not ("")."""
+    """(kind, left, right, first, n): what stands where: names with their given name, numbers with their shape (kind `number`: an unknown one), addresses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, str, str, str]] = Counter()
@@ -278,12 +311,10 @@ def observations(texts: DataFrame) -> DataFrame:
                     seen["person", _left(text, m.start()), _right(text, m.end()), (given or m["i"]).lower()] += 1
                 if _has_number(text):
                     for m in NUMBER.finditer(text):
-                        if m.lastgroup != "other":
-                            seen[m.lastgroup, _left(text, m.start()), "", "seed"] += 1
-                        elif sum(c.isdigit() for c in m[0]) >= 6:
-                            seen["number", _left(text, m.start()), "", ""] += 1
+                        if m.lastgroup != "other" or sum(c.isdigit() for c in m[0]) >= 6:
+                            seen["number" if m.lastgroup == "other" else m.lastgroup, _left(text, m.start()), "", re.sub(r"\d", "#", m[0].strip())] += 1
                     for m in ADDRESS.finditer(text):
-                        seen["address", _left(text, m.start()), "", "seed"] += 1
+                        seen["address", _left(text, m.start()), "", ""] += 1
             if len(seen) > FLUSH:
                 yield from flush()
         yield from flush()
@@ -291,11 +322,8 @@ def observations(texts: DataFrame) -> DataFrame:
     return texts.select("field", "body").mapInArrow(run, "kind string, left string, right string, first string, n bigint").groupBy("kind", "left", "right", "first").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame) -> Model:
-    """Seeds to patterns to instances, ROUNDS times, as joins and aggregates over the observations."""
-    seen = cut(observations(texts), "p3-observations")
-    # patterns of one and of two words
-    seen = seen.withColumn("last", F.element_at(F.split("left", " "), -1))
+def _people(seen: DataFrame) -> DataFrame:
+    """kind, key, score: given names and the patterns around names, by rounds of seeds to patterns to instances."""
     people = seen.where("kind = 'person'")
     sides = F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("pattern")), F.struct(F.lit("l").alias("side"), F.col("last").alias("pattern")), F.struct(F.lit("r").alias("side"), F.col("right").alias("pattern")))
     edges = cut(people.select(F.explode(F.array_distinct(sides)).alias("s"), "first", "n").select("s.*", "first", "n").where("pattern <> ''").groupBy("side", "pattern", "first").agg(F.sum("n").alias("n")), "p3-edges")
@@ -310,46 +338,121 @@ def train(texts: DataFrame) -> Model:
         patterns = cut(score.where((F.col("score") >= GOOD_PATTERN) & (F.col("support") >= LEAST_SUPPORT) & (F.col("instances") >= 2)), "p3-patterns")
         met = full.join(patterns.select("side", "pattern", "score"), ["side", "pattern"]).groupBy("first").agg(F.sum(F.when(F.col("side") == "l", F.col("n")).otherwise(0)).alias("inside"), F.count_distinct("side", "pattern").alias("agree"))
         known = cut(met.join(every, "first").where((F.col("agree") >= 2) & (F.col("inside") >= GOOD_INSTANCE * F.col("total"))).select("first").unionByName(known).distinct(), "p3-known")
-    model = Model()
-    weight = full.join(known, "first").groupBy("first").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "first").limit(MODEL_ENTRIES)
-    model.given = {r[0]: float(r[1]) for r in weight.collect()}
-    top = patterns.withColumn("rn", F.row_number().over(Window.partitionBy("side").orderBy(F.desc("support"), "pattern"))).where(F.col("rn") <= MODEL_ENTRIES).collect()
-    model.left["person"] = {r["pattern"]: r["score"] for r in top if r["side"] == "l" and "#" not in r["pattern"]}
-    model.right = {r["pattern"]: r["score"] for r in top if r["side"] == "r" and r["pattern"].count(" ") >= 1 and "#" not in r["pattern"] and ". " not in r["pattern"] and r["score"] >= SURE_PATTERN}
-    around = seen.where("kind <> 'person'").select("kind", F.explode(F.array_distinct(F.array("left", "last"))).alias("left"), "n")
-    numbers = around.groupBy("left").pivot("kind", ["phone", "identity", "address", "number"]).agg(F.sum("n")).na.fill(0)
-    for kind in ("phone", "identity", "address"):
-        rivals = sum((F.col(k) for k in ("phone", "identity", "address") if k != kind), F.lit(0))
-        best = numbers.where((F.col(kind) >= LEAST_SUPPORT) & (F.col(kind) >= 9 * (rivals + F.col("number"))) & ~F.col("left").contains("#") & F.col("left").rlike(r"\S \S|\w[:.]$")).orderBy(F.desc(kind), "left").limit(MODEL_ENTRIES)
-        model.left[kind] = {r["left"]: 1.0 for r in best.select("left").collect()}
-    return model
-
-
-_finders: dict[int, Finder] = {}
-
-
-def _finder(shared) -> Finder:
-    if id(shared) not in _finders:
+    names = full.join(known, "first").groupBy(F.col("first").alias("key")).agg(F.sum("n").cast("double").alias("score")).withColumn("kind", F.lit("given"))
+    plain = patterns.where(~F.col("pattern").contains("#"))
+    left = plain.where("side = 'l'").select(F.lit("left:person").alias("kind"), F.col("pattern").alias("key"), "score")
+    right = plain.where((F.col("side") == "r") & F.col("pattern").contains(" ") & ~F.col("pattern").contains(". ") & (F.col("score") >= SURE_PATTERN)).select(F.lit("right").alias("kind"), F.col("pattern").alias("key"), "score")
+    return names.select("kind", "key", "score").unionByName(left).unionByName(right)
+
+
+def _numbers(seen: DataFrame) -> DataFrame:
+    """kind, key, score: the patterns before numbers and addresses, by the same rounds; instances are the shapes of numbers."""
+    kinds = ("phone", "identity", "address")
+    edges = seen.where("kind <> 'person'").select("kind", "first", "n", F.explode(F.array_distinct(F.array("left", "last"))).alias("pattern")).groupBy("kind", "first", "pattern").agg(F.sum("n").alias("n"))
+    edges = cut(edges, "p3-numbers")
+    every = edges.where("kind = 'number'").groupBy("first").agg(F.sum("n").alias("total"))
+    known = edges.where("false").select("first", F.col("kind").alias("told"))
+    good = None
+    for _ in range(ROUNDS):
+        marked = edges.join(known, "first", "left").withColumn("told", F.when(F.col("kind") != "number", F.col("kind")).otherwise(F.col("told")))
+        by = marked.groupBy("pattern").agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("told") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
+        best = by.select("pattern", "total", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("n")) for k in kinds])).alias("b")).where((F.col("b.n") >= LEAST_SUPPORT) & (F.col("b.n") >= 9 * (F.col("total") - F.col("b.n"))))
+        good = cut(best.where(~F.col("pattern").contains("#") & F.col("pattern").rlike(r"\S \S|\w[:.]$")).select("pattern", F.col("b.k").alias("k"), (F.col("b.n") / F.col("total")).alias("score")), "p3-good")
+        met = edges.where("kind = 'number'").join(good, "pattern").groupBy("first", "k").agg(F.sum("n").alias("inside"), F.count("*").alias("agree"))
+        known = cut(met.join(every, "first").where((F.col("agree") >= 2) & (F.col("inside") >= LEAST_SUPPORT) & (F.col("inside") >= GOOD_SHAPE * F.col("total"))).select("first", F.col("k").alias("told")), "p3-shapes")
+    return good.select(F.concat(F.lit("left:"), "k").alias("kind"), F.col("pattern").alias("key"), "score")
+
+
+def train(texts: DataFrame) -> DataFrame:
+    """kind, key, score of all accepted names and patterns: seeds to patterns to instances, ROUNDS times, as joins and aggregates over the observations."""
+    seen = cut(observations(texts), "p3-observations").withColumn("last", F.element_at(F.split("left", " "), -1))  # patterns of one and of two words
+    return cut(_people(seen).unionByName(_numbers(seen)), "p3-model")
+
+
+_finders: dict[str, Finder] = {}
+
+
+def _finder(shared: Broadcast) -> Finder:
+    """The finder of a model, by the model's own name: workers outlive a broadcast, so the address of its value names nothing."""
+    name, rows = shared.value
+    if name not in _finders:
         _finders.clear()
-        _finders[id(shared)] = Finder(shared.value)
-    return _finders[id(shared)]
+        _finders[name] = Finder(Model.of(rows))
+    return _finders[name]
+
+
+_chains = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+
+
+def lookup_keys(text: str) -> set[str]:
+    """Every key of a model that a finder may look up in a text."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    words = low.split()
+    keys = {" ".join(words[i:j]) for i in range(len(words)) for j in (i + 2, i + 3)}
+    for i, w in enumerate(words):
+        for a in range(len(w)):
+            if not a or not w[a - 1].isalnum():
+                keys |= {w[a:], w[a:] + " " + words[i + 1]} if i + 1 < len(words) else {w[a:]}
+    starts = {m.start() for pattern in (NUMBER, ADDRESS) for m in pattern.finditer(text)}
+    for m in _chains.finditer(low):
+        parts = m[0].split("-")
+        keys |= {"-".join(parts[i:j]) for i in range(len(parts)) for j in (i + 1, i + 2)}
+        starts.add(m.start())
+        starts |= {m.start() + k + 1 for k, c in enumerate(m[0]) if c == "-"}
+    for at in starts:
+        left = _left(text, at)
+        keys |= {left, left.rsplit(" ", 1)[-1]}
+    return keys
+
+
+def _found(texts: DataFrame, give: Callable[[Finder, str, str, str], list[tuple]], columns: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """Rows that `give` makes of the mentions of each text (field, record_id, body), with the model of all texts."""
+    model = train(texts)
+    names = [c for c, _ in columns]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows) if rows else [[]] * len(columns), columns)], names)
+
+    if model.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES:
+        shared = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in model.collect()]))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = _finder(shared)
+            for b in batches:
+                yield batch([row for f, i, body in zip(*(b.column(c).to_pylist() for c in ("field", "record_id", "body"))) for row in give(finder, f, i, body)])
+
+        return texts.mapInArrow(whole, schema)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f, mark, body in zip(*(b.column(c).to_pylist() for c in ("field", "mark", "body"))):
+                keys = sorted(lookup_keys(body_text(f, body) or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([mark] * len(keys), pa.string()), pa.array(keys, pa.string())], ["mark", "key"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for f, i, body, entries in zip(*(b.column(c).to_pylist() for c in ("field", "record_id", "body", "entries"))):
+                rows += give(Finder(Model.of((e["kind"], e["key"], e["score"]) for e in entries or [])), f, i, body)
+            yield batch(rows)
+
+    # a text is told by its hash; entries come to it over a join, in which the keys of hot words are split by Spark
+    marked = texts.withColumn("mark", F.md5(F.concat_ws(" ", "field", "body")))
+    asked = marked.select("field", "mark", "body").mapInArrow(ask, "mark string, key string").distinct()
+    held = asked.join(model, "key").groupBy("mark").agg(F.collect_list(F.struct("kind", "key", "score")).alias("entries"))
+    return marked.join(held, "mark", "left").select("field", "record_id", "body", "entries").mapInArrow(apart, schema)
 
 
 def mentions(ingest: DataFrame, messages: DataFrame) -> DataFrame:
     """(field, record_id, kind, start_at): every mention of a person or an identifier."""
-    texts = texts_of(ingest, messages)
-    shared = ingest.sparkSession.sparkContext.broadcast(train(texts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(shared)
-        for b in batches:
-            out: list[tuple[str, str, str, int]] = []
-            for f, id_, body in zip(*(b.column(c).to_pylist() for c in ("field", "record_id", "body"))):
-                out += [(f, id_, kind, a) for a, _, kind in finder.mentions(body_text(f, body))]
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32()))], ["field", "record_id", "kind", "start_at"])
+    def give(finder: Finder, f: str, i: str, body: str) -> list[tuple]:
+        return [(f, i, kind, a) for a, _, kind in finder.mentions(body_text(f, body))]
 
-    return texts.mapInArrow(run, "field string, record_id string, kind string, start_at int").distinct()
+    columns = [("field", pa.string()), ("record_id", pa.string()), ("kind", pa.string()), ("start_at", pa.int32())]
+    return _found(texts_of(ingest, messages), give, columns, "field string, record_id string, kind string, start_at int").distinct()
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -359,14 +462,13 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def redacted(ingest: DataFrame, messages: DataFrame) -> DataFrame:
-    """(field, record_id, text): the texts with a placeholder for every mention; null where a message has no text."""
-    texts = texts_of(ingest, messages)
-    shared = ingest.sparkSession.sparkContext.broadcast(train(texts))
+    """(field, record_id, text): the texts with a placeholder for every mention; null where a message has no text. Rows of an id with one text count once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(shared)
-        for b in batches:
-            plain = [body_text(f, body) for f, body in zip(b.column("field").to_pylist(), b.column("body").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("field"), b.column("record_id"), pa.array([t and redact(t, finder.mentions(t)) for t in plain], pa.string())], ["field", "record_id", "text"])
+    def give(finder: Finder, f: str, i: str, body: str) -> list[tuple]:
+        text = body_text(f, body)
+        return [(f, i, text and redact(text, finder.mentions(text)))]
 
-    return texts.mapInArrow(run, "field string, record_id string, text string").distinct()
+    columns = [("field", pa.string()), ("record_id", pa.string()), ("text", pa.string())]
+    out = _found(texts_of(ingest, messages), give, columns, "field string, record_id string, text string")
+    # repeated rows are told by their hashes, so that no text is compared
+    return out.groupBy("field", "record_id", F.md5("text").alias("__m")).agg(F.first("text").alias("text")).drop("__m")

@@ -150,7 +150,9 @@ def pii_texts():
     return out
 
 
-def test_mentions(spark):
+@pytest.mark.parametrize("entries", [300_000, 0])
+def test_mentions(spark, monkeypatch, entries):
+    monkeypatch.setattr(pii, "BROADCAST_ENTRIES", entries)
     a = [(f"d{i}", t, None) for i, t in enumerate(pii_texts())]
     tests = {
         "t1": ("ask dagny glousley about it, 020 7946 0750", [("person", 4), ("phone", 29)]),
@@ -178,6 +180,21 @@ def test_mentions(spark):
     assert pii.mentions(i.where("false"), m.where("false")).count() == 0
 
 
+def test_two_models_in_one_session(spark):
+    """A worker that is used again must not answer with the model before."""
+    m = spark.createDataFrame([], "id bigint, message string")
+    names = {"Dagny": pii_texts(), "Zorvex": [t.replace("Dagny", "Zorvex") for t in pii_texts()]}
+    for k in range(6):
+        given = list(names)[k % 2]
+        rows = [(f"d{i}", t) for i, t in enumerate(names[given])] + [("q", "then dagny glousley left"), ("r", "ask zorvex glousley about it"), ("s", "ask dagny glousley about it")]
+        got = {r["record_id"] for r in pii.mentions(spark.createDataFrame(rows, "id string, content string"), m).collect()}
+        assert ("s" in got, "r" in got) == (given == "Dagny", given == "Zorvex")
+
+
+def test_long_local_parts():
+    assert list(pii.emails("to " + "a.b" * 100 + "@post.tide.test now")) == [(3, 318)] and list(pii.emails("-_x @ y.z")) == [(2, 9)] and not list(pii.emails("x. @y.z"))
+
+
 def test_reply_links_of_any_age(spark):
     """Every earlier message may be the parent: against a walk over the whole thread, with gaps of minutes to weeks."""
     import datetime as dt
