@@ -1,13 +1,14 @@
 """Repair of text from scanned pages: a noisy channel over words, decoded by Viterbi per line.
 
-Page furniture is found by layout (see pages.py). The language model are word and word pair counts of all records that are
-not scanned; the channel are the confusions of pages.CONFUSIONS, their probabilities estimated from the words of scanned
-pages that one confusion leads to a known word. A word of a scanned line is a candidate for itself and for the known words
-that up to two confusions lead to, or as many as it has digits and signs (up to MOST_SIGNS); what looks like a code is one
-only if no such word is known, and codes that the other records hold count as words of their own; every line with such a word is decoded with Viterbi. A word broken over two lines is
-joined, or kept with its hyphen, by the likelier of the two words.
-
-Rare words only get candidates: those of a share below RARE of all words, whatever the corpus' size.
+Page furniture is found by layout (see pages.py). The language model is a bigram model over the records that are not
+scanned, smoothed by the words' own probabilities: P(b | a) = (n(a, b) + PRIOR P(b)) / (n(a) + PRIOR). The channel are the
+confusions of pages.CONFUSIONS, their probabilities estimated from the words of scanned pages that one confusion leads to a
+known word. A word of a scanned line is a candidate for itself and for the known words that up to two confusions lead to,
+or as many as it has digits and signs (up to MOST_SIGNS); what looks like a code is one only if no such word is known, and
+codes that the other records hold count as words of their own. Every word is doubted, known ones too, when a candidate is
+so likely by itself that its neighbours could decide for it (within OPEN, a log ratio, which is no matter of the corpus' size);
+every line with such a word is decoded with Viterbi. A word broken over two lines is joined, or kept with its hyphen, by the
+likelier of the two words.
 
 Defined results: null and blank contents have no lines of any kind; repeated rows of an id count once (the one received
 last); rows with a null id are ignored; metadata that is no JSON object says nothing; without scanned records, or without
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from docsql.llm.pages import CONFUSIONS, is_scanned, layout
 from docsql.runtime import cut, one_per_key
 
-RARE = 2e-6
+OPEN = 4.0
+PRIOR = 1000.0
 UNSEEN = 0.002  # an unknown word counts as seen so often
 ERRORS = 0.02  # share of misread places, divided among the confusions
-MOST_EDITS, MOST_CANDIDATES = 2, 6
+MOST_EDITS = 2
 MOST_SIGNS = 8  # a word of more digits and signs has no readings
 FLUSH = 300_000
 
@@ -163,10 +165,14 @@ def readings(word: str) -> dict[str, tuple[list[int], int]]:
     return out
 
 
+OPTION = "struct<score:double,candidate:string,place:int,p:double,n:double>"
+
+
 def word_candidates(words: DataFrame, counts: DataFrame) -> tuple[DataFrame, float]:
-    """word, n, options (candidate, score, place): for each distinct word; and the number of words counted.
+    """word, n, options (score, candidate, place, p, n): for each distinct word; and the number of words counted.
 
-    score is the log of channel times word probability; the word itself is always an option, at place -1.
+    p is the log probability of the candidate, n its count, score the log of channel times probability; the word itself is
+    always an option, at place -1.
     """
     one = counts.where("follower is null").select("word", "n")
     total = float(one.agg(F.sum("n")).collect()[0][0] or 0) or 1.0
@@ -180,31 +186,38 @@ def word_candidates(words: DataFrame, counts: DataFrame) -> tuple[DataFrame, flo
                 cols = list(zip(*part)) if part else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32()))], ["word", "candidate", "confusions", "place"])
 
-    rare = types.where(F.col("n") < F.greatest(F.lit(1.0), F.lit(RARE * total)))
-    made = rare.select("word").mapInArrow(generate, "word string, candidate string, confusions array<int>, place int")
-    known = cut(made.join(one.select(F.col("word").alias("candidate"), F.col("n").alias("m")), "candidate"), "p6-readings")
+    made = types.select("word").mapInArrow(generate, "word string, candidate string, confusions array<int>, place int")
+    known = cut(made.join(one.select(F.col("word").alias("candidate"), F.col("n").alias("m")), "candidate").join(types, "word"), "p6-readings")
     # the channel: how often each confusion alone explains an unknown word; at most as many rows as there are confusions
-    seen = dict(known.join(types.where("n = 0").select("word"), "word", "left_semi").where("size(confusions) = 1").groupBy(F.col("confusions")[0]).count().collect())
+    seen = dict(known.where("n = 0 and size(confusions) = 1").groupBy(F.col("confusions")[0]).count().collect())
     every = sum(seen.values()) + len(CONFUSIONS)
     log_p = F.array(*[F.lit(math.log(ERRORS * (seen.get(k, 0) + 1) / every)) for k in range(len(CONFUSIONS))])
     channel = F.aggregate("confusions", F.lit(0.0), lambda s, k: s + F.get(log_p, k))
-    scored = known.select("word", F.struct((channel + F.log(F.col("m") / total)).alias("score"), "candidate", "place").alias("o"))
-    best = scored.groupBy("word").agg(F.slice(F.sort_array(F.collect_list("o"), asc=False), 1, MOST_CANDIDATES).alias("others"))
-    own = F.struct((F.log(F.lit(1 - ERRORS)) + F.log(F.greatest(F.col("n").cast("double"), F.lit(UNSEEN)) / total)).alias("score"), F.col("word").alias("candidate"), F.lit(-1).alias("place"))
-    return types.join(best, "word", "left").select("word", "n", F.concat(F.array(own), F.coalesce("others", F.array().cast("array<struct<score:double,candidate:string,place:int>>"))).alias("options")), total
+    p = lambda n: F.log(F.greatest(F.col(n).cast("double"), F.lit(UNSEEN)) / total)
+    kept = F.log(F.lit(1 - ERRORS)) + p("n")
+    scored = known.withColumn("score", channel + p("m")).where(F.col("score") > kept - OPEN).select("word", F.struct("score", "candidate", "place", p("m").alias("p"), F.col("m").cast("double").alias("n")).alias("o"))
+    best = scored.groupBy("word").agg(F.sort_array(F.collect_list("o"), asc=False).alias("others"))
+    own = F.struct(kept.alias("score"), F.col("word").alias("candidate"), F.lit(-1).alias("place"), p("n").alias("p"), F.col("n").cast("double").alias("n")).cast(OPTION)
+    return types.join(best, "word", "left").select("word", "n", F.concat(F.array(own), F.coalesce(F.col("others").cast(f"array<{OPTION}>"), F.array().cast(f"array<{OPTION}>"))).alias("options")), total
 
 
-def decode(words: list[str], options: dict[int, list[tuple[float, str, int]]], pairs: dict[tuple[str, str], int], total: float) -> list[tuple[str, int]]:
-    """Likeliest (word, place of the first misreading or -1) at each position. pairs: counts of neighbours; scores as in word_candidates."""
-    states: list[tuple[float, tuple[str, int], int]] = []
-    history: list[list[tuple[float, tuple[str, int], int]]] = []
+def decode(words: list[str], options: dict[int, list[tuple[float, str, int, float, float]]], pairs: dict[tuple[str, str], tuple[int, int]], total: float) -> list[tuple[str, int]]:
+    """Likeliest (word, place of the first misreading or -1) at each position.
+
+    pairs: counts of neighbours, and of the second of them; options as in word_candidates. A word that is not doubted is
+    certain: what leads to it weighs by how likely it follows, and its own probability only where some pair is known, as
+    otherwise it is the same for all.
+    """
+    states: list[tuple[float, tuple[str, int], int, float]] = []
+    history: list[list[tuple[float, tuple[str, int], int, float]]] = []
     for i, w in enumerate(words):
         new = []
-        for score, candidate, place in options.get(i, [(0.0, w, -1)]):
-            # a pair seen n times is worth so much more than its two words by chance
-            into = [(s + math.log1p(pairs.get((c[0], candidate), 0)), j) for j, (s, c, _) in enumerate(states)] or [(0.0, -1)]
+        follows = [m for x in states for _, m in [pairs.get((x[1][0], w), (0, 0))] if m]
+        for score, candidate, place, p, n in options.get(i, [(0.0, w, -1, math.log(max(max(follows, default=0), UNSEEN) / total), 0.0)]):
+            own = score - p if i in options else 0.0  # the channel
+            into = [(s + own + math.log((pairs.get((c[0], candidate), (0, 0))[0] + PRIOR * math.exp(p)) / (before + PRIOR)), j) for j, (s, c, _, before) in enumerate(states)] or [(own + p, -1)]
             s, j = max(into)
-            new.append((s + score, (candidate, place), j))
+            new.append((s, (candidate, place), j, n))
         history.append(new)
         states = new
     out = []
@@ -241,15 +254,16 @@ def _decoded(lines: DataFrame, options: DataFrame, counts: DataFrame, total: flo
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()))], ["id", "line_no", "word", "follower"])
 
     near = open_.mapInArrow(neighbours, "id string, line_no int, word string, follower string")
-    met = near.join(counts.where("follower is not null"), ["word", "follower"]).groupBy("id", "line_no").agg(F.collect_list(F.struct("word", "follower", "n")).alias("pairs"))
+    one = counts.where("follower is null").select(F.col("word").alias("follower"), F.col("n").alias("m"))
+    met = near.join(counts.where("follower is not null"), ["word", "follower"]).join(one, "follower").groupBy("id", "line_no").agg(F.collect_list(F.struct("word", "follower", "n", "m")).alias("pairs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {"id": [], "line_no": [], "changes": []}
             for id_, no, words, places, hits_, pairs in zip(*(b.column(c).to_pylist() for c in ("id", "line_no", "words", "places", "hits", "pairs"))):
-                opts = {h["pos"]: [(o["score"], o["candidate"], o["place"]) for o in h["options"]] for h in hits_}
+                opts = {h["pos"]: [(o["score"], o["candidate"], o["place"], o["p"], o["n"]) for o in h["options"]] for h in hits_}
                 stay = _context(words, set(opts))
-                best = decode([words[i] for i in stay], {n: opts[i] for n, i in enumerate(stay) if i in opts}, {(p["word"], p["follower"]): p["n"] for p in pairs or []}, total)
+                best = decode([words[i] for i in stay], {n: opts[i] for n, i in enumerate(stay) if i in opts}, {(p["word"], p["follower"]): (p["n"], p["m"]) for p in pairs or []}, total)
                 changes = [{"place": places[i], "word": words[i], "meant": c} for i, (c, at) in zip(stay, best) if at >= 0]
                 if changes:
                     out["id"].append(id_)

@@ -120,7 +120,7 @@ def test_running_lines():
 
 def test_readings():
     assert "timetable" in ocr.readings("tirnetable") and "about" in ocr.readings("@bovt") and ocr.readings("mmm") is not None
-    best = ocr.decode(["the", "ta6le"], {1: [(-20.0, "ta6le", -1), (-9.0, "table", 2)]}, {("the", "table"): 5}, 100.0)
+    best = ocr.decode(["the", "ta6le"], {1: [(-20.0, "ta6le", -1, -19.9, 0.0), (-9.0, "table", 2, -3.0, 5.0)]}, {("the", "table"): (5, 5)}, 100.0)
     assert best == [("the", -1), ("table", 2)]
 
 
@@ -143,6 +143,13 @@ def test_scanned_pages(spark):
     assert ocr.noisy_lines(df.where("false")).count() == 0 and ocr.repaired(df.where("id <> 's'")).count() == 0
 
 
+def test_known_words_are_doubted_by_their_neighbours():
+    """A word that is one, but stands where another is far likelier; and the same word where it belongs."""
+    options = {1: [(-6.0, "bare", -1, -5.98, 300.0), (-7.5, "hare", 0, -4.0, 3000.0)]}
+    assert ocr.decode(["the", "bare", "ran"], options, {("the", "hare"): (400, 3000), ("hare", "ran"): (50, 60)}, 1e5)[1] == ("hare", 0)
+    assert ocr.decode(["a", "bare", "wall"], options, {("a", "bare"): (40, 300), ("bare", "wall"): (20, 60)}, 1e5)[1] == ("bare", -1)
+
+
 def pii_texts():
     out = []
     for i, (g, f) in enumerate([("Marnick", "Glouse"), ("Dagny", "Keno"), ("Osric", "Tavel"), ("Brisa", "Feris")] * 6):
