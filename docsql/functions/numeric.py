@@ -61,18 +61,41 @@ def wilson(passed: Column, total: Column, z: float = Z95) -> tuple[Column, Colum
     return end(middle - width), end(middle + width)
 
 
+ACCURACY = 10_000  # of the sketch; a group's candidates are about four times its rows divided by this
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per group the values at index min(n - 1, floor(p n)) of the ascending order.
 
-    Equal values are counted first, so a group's window holds its distinct values only.
+    A mergeable sketch brackets each of them; what lies below the bracket is counted, and only the values inside are put in
+    order, so no task sees a group whole, however large or varied it is.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("__upto", upto).withColumn("__total", F.sum("__n").over(w))
-    at = {name: F.least(F.col("__total") - 1, F.floor(F.lit(p) * F.col("__total"))) for name, p in shares.items()}
-    hit = lambda i: (F.col("__upto") > i) & (F.col("__upto") - F.col("__n") <= i)
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(hit(i), F.col(value))).alias(name) for name, i in at.items()])
+    held = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    ends = [min(1.0, max(0.0, p + d / ACCURACY)) for p in shares.values() for d in (-2, 2)]
+    sketch = held.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", ends, ACCURACY).alias("__q"))
+    brackets = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("__n") - 1, F.floor(F.lit(p) * F.col("__n"))).alias("at"), F.col("__q")[2 * i].alias("lo"), F.col("__q")[2 * i + 1].alias("hi")) for i, (name, p) in enumerate(shares.items())])
+    near = (held.join(sketch.select(*keys, brackets.alias("__b")), keys) if keys else held.crossJoin(sketch.select(brackets.alias("__b")))).select(*keys, "__v", F.explode("__b").alias("b"))  # without keys the sketch is one row
+    near = near.where(F.col("__v") <= F.col("b.hi")).withColumn("__in", F.when(F.col("__v") >= F.col("b.lo"), F.col("__v")))
+    counted = near.groupBy(*keys, F.col("b.name").alias("__name"), F.col("b.at").alias("__at"), "__in").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__name").orderBy(F.asc_nulls_first("__in")).rowsBetween(Window.unboundedPreceding, 0))
+    hit = counted.withColumn("__upto", upto).where((F.col("__upto") > F.col("__at")) & (F.col("__upto") - F.col("__c") <= F.col("__at")))
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col("__in"))).alias(name) for name in shares])
+
+
+def mulberry(seed: Column, n: Column) -> Column:
+    """The n-th number (from 1) in [0, 1) of the mulberry32 generator. The state after n steps follows from n, so rows are independent."""
+    low = F.lit(0xFFFFFFFF)
+    wrap = lambda x: x.bitwiseAND(low)
+    shift = lambda x, k: F.shiftrightunsigned(x, k)
+
+    def times(x: Column, y: Column) -> Column:
+        # 32-bit product without overflow of 64 bits: the upper half of x only counts by its own lower 16 bits
+        return wrap(wrap(shift(x, 16) * y).bitwiseAND(F.lit(0xFFFF)) * F.lit(65536) + x.bitwiseAND(F.lit(0xFFFF)) * y)
+
+    a = wrap(seed.cast("bigint") + n.cast("bigint") * F.lit(0x6D2B79F5))
+    t = times(wrap(a.bitwiseXOR(shift(a, 15))), wrap(a.bitwiseOR(F.lit(1))))
+    t = wrap(t.bitwiseXOR(wrap(t + times(wrap(t.bitwiseXOR(shift(t, 7))), wrap(t.bitwiseOR(F.lit(61)))))))
+    return wrap(t.bitwiseXOR(shift(t, 14))) / F.lit(4294967296.0)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

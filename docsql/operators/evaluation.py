@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsql.functions.numeric import half_up, percentiles, wilson
@@ -13,12 +13,25 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> Dat
 
     A document's rank is that of its first chunk, counted among documents; only the first k count.
     """
-    from pyspark.sql import Window
+    wanted = relevant.select("query_id", "doc_id").distinct()
+    total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
+    return ranked_metrics(ranked, wanted, total, k)
+
 
+def label_metrics(ranked: DataFrame, queries: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+    """The same where all documents of a query's label are relevant: queries (query_id, label), labels (doc_id, label).
+
+    Labels are counted, and only the ranked documents are looked up; the relevant pairs are never made.
+    """
+    size = labels.groupBy("label").agg(F.count_distinct("doc_id").alias("total"))
+    total = queries.join(size, "label").select("query_id", "total")
+    wanted = ranked.select("query_id", "doc_id").distinct().join(queries.select("query_id", "label"), "query_id").join(labels.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_semi").select("query_id", "doc_id")
+    return ranked_metrics(ranked, wanted, total, k)
+
+
+def ranked_metrics(ranked: DataFrame, wanted: DataFrame, total: DataFrame, k: int) -> DataFrame:
     docs = ranked.groupBy("query_id", "doc_id").agg(F.min("rank").alias("r"))
     docs = docs.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("r", "doc_id"))).where(F.col("pos") <= k)
-    wanted = relevant.select("query_id", "doc_id").distinct()
-    total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
     hit = docs.join(wanted, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"), F.min("pos").alias("first"), F.sum(1 / F.log2(F.col("pos") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("total"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     both = total.join(hit, "query_id", "left")
@@ -53,7 +66,7 @@ def latency(results: DataFrame, by: str, value: str) -> DataFrame:
 
 def relevance_floor(scores: DataFrame, similarity: str, on_topic: str, share: float = 0.03) -> DataFrame:
     """floor, kept, silenced: the floor that keeps all but `share` of the on-topic scores, and what it does to both kinds."""
-    good = scores.where(F.col(on_topic)).select(F.lit(1).alias("one"), similarity)
-    floor = percentiles(good, ["one"], similarity, {"floor": share}).select("one", half_up(F.col("floor"), 2).alias("floor"))
-    marked = scores.withColumn("one", F.lit(1)).join(F.broadcast(floor), "one")  # one row
+    good = scores.where(F.col(on_topic)).select(similarity)
+    floor = percentiles(good, [], similarity, {"floor": share}).select(half_up(F.col("floor"), 2).alias("floor"))
+    marked = scores.crossJoin(F.broadcast(floor))  # one row
     return marked.groupBy("floor").agg(F.count_if(F.col(on_topic) & (F.col(similarity) >= F.col("floor"))).alias("kept"), F.count_if(~F.col(on_topic) & (F.col(similarity) < F.col("floor"))).alias("silenced"))

@@ -40,18 +40,28 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list
 def merged_runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """keys, value, first, n: runs of neighbours with the same value as one row each; `first` is the run's first order struct.
 
-    Rows that open a run are few against all rows only sometimes, so the run of a row is found by its opener's rank: the
-    number of openers up to it, from the counts of range partitions.
+    Runs are summed up within each range; a run that goes on in the next range is put together from the first and the last
+    run of each range, two rows a range.
     """
-    marked = with_previous(df.select(*keys, *order, value).withColumn("__has", F.lit(True)), keys, order, [value, "__has"])
-    opens = marked.withColumn("__open", F.when(F.col("prev___has") & F.col(value).eqNullSafe(F.col(f"prev_{value}")), 0).otherwise(1))
-    laid = _laid(opens.select(*keys, *order, value, "__open"), keys, order)
-    counts = laid.groupBy("__part").agg(F.sum("__open").alias("c")).orderBy("__part").collect()
-    start, table = 0, []
-    for r in counts:  # one row a partition
-        table.append((r[0], start))
-        start += r[1]
-    offsets = df.sparkSession.createDataFrame(table, "__part int, __start bigint")
-    w = Window.partitionBy("__part").orderBy(*keys, *order).rowsBetween(Window.unboundedPreceding, 0)
-    run = laid.withColumn("__n", F.sum("__open").over(w)).join(F.broadcast(offsets), "__part").withColumn("__run", F.col("__start") + F.col("__n"))
-    return run.groupBy(*keys, "__run").agg(F.first(value).alias(value), F.min(F.struct(*order)).alias("first"), F.count("*").alias("n")).drop("__run")
+    laid = _laid(df.select(*keys, *order, value), keys, order)
+    w = Window.partitionBy("__part").orderBy(*keys, *order)
+    same = F.row_number().over(w) > 1
+    for c in (*keys, value):
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
+    numbered = laid.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut(numbered.groupBy("__part", "__run").agg(*[F.first(c).alias(c) for c in (*keys, value)], F.min(F.struct(*order)).alias("first"), F.count("*").alias("n")), "runs")
+    last = parts.groupBy("__part").agg(F.max("__run").alias("__last"))
+    edges = parts.join(last, "__part").where("__run = 1 or __run = __last").select("__part", "__run", "__last", *keys, value).orderBy("__part", "__run").collect()
+    goes_on, before = [], None
+    for r in edges:
+        if r["__run"] == 1 and before is not None and all(r[c] == before[0][c] for c in (*keys, value)):
+            goes_on.append((r["__part"], 1, *before[1]))
+            root = before[1]
+        else:
+            root = (r["__part"], r["__run"])
+        if r["__run"] == r["__last"]:
+            before = (r, root)
+    into = df.sparkSession.createDataFrame(goes_on, "__part int, __run bigint, __to_part int, __to_run bigint")
+    roots = parts.join(F.broadcast(into), ["__part", "__run"], "left")  # at most one row a range
+    roots = roots.withColumn("__p", F.coalesce("__to_part", "__part")).withColumn("__r", F.coalesce("__to_run", "__run"))
+    return roots.groupBy("__p", "__r").agg(*[F.first(c).alias(c) for c in (*keys, value)], F.min("first").alias("first"), F.sum("n").alias("n")).drop("__p", "__r")

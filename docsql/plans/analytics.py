@@ -333,8 +333,7 @@ def retrieval_quality(s, d):
     """A-15, M-6, W-3, W-4: relevant are the vectors of the query's label"""
     e = embeddings(s, d).select(F.col("vec_id").alias("doc_id"), "label")
     top = vector_top(s, d).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
-    wanted = _queries(s, d).select(F.col("vec_id").alias("query_id"), "label").join(e, "label").select("query_id", "doc_id")
-    return evaluation.retrieval_metrics(top, wanted, 5).select("query_id", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("ndcg", 6).alias("ndcg"))
+    return evaluation.label_metrics(top, _queries(s, d).select(F.col("vec_id").alias("query_id"), "label"), e, 5).select("query_id", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("ndcg", 6).alias("ndcg"))
 
 
 def floor_calibration(s, d):

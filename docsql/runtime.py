@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A frame that is a plain scan, for work in Python: dealt out when its files are fewer than the cores, else as it is."""
+    """A frame that is a plain scan, for work in Python: dealt out when its partitions are fewer than the cores, else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,22 +55,41 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder below shared_dir that holds what this application writes in between; it is removed when the driver ends."""
+    folder = f"{shared_dir(spark)}/docsql-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        context = spark.sparkContext
+        jvm = context._jvm or SparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(context._jsc.hadoopConfiguration() if context._jsc else jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone before the driver
+        pass
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(df: DataFrame) -> None:
     """Remove the files of a frame that came from cut(); nothing may read it afterwards."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, folder)
 
 
 def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
