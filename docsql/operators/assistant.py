@@ -116,10 +116,11 @@ class Tagged:
         self.held = ""
 
 
-def packed(items: DataFrame, key: str, order: str, size: str, budget: int, by_longest: bool = False) -> DataFrame:
+def packed(items: DataFrame, key: str, order: str, size: str, budget: int, by_longest: bool = False, joint: int = 0) -> DataFrame:
     """items with `batch`: consecutive items of a key in batches within the budget; an item over it stands alone.
 
-    by_longest: a batch's size is its number of items times its longest. One key is the unit of work; its rows stream.
+    by_longest: a batch's size is its number of items times its longest. joint: what parts an item from the next, counted
+    with it once it is in. One key is the unit of work; its rows stream.
     """
     schema = T.StructType([*items.schema.fields, T.StructField("batch", T.IntegerType())])
 
@@ -133,7 +134,7 @@ def packed(items: DataFrame, key: str, order: str, size: str, budget: int, by_lo
                 full = (n + 1) * max(longest, s) > budget if by_longest else used + s > budget
                 if n and full:
                     batch, used, n, longest = batch + 1, 0, 0, 0
-                used, n, longest = used + s, n + 1, max(longest, s)
+                used, n, longest = used + s + joint, n + 1, max(longest, s)
                 out.append(batch)
             yield f.assign(batch=pd.array(out, "Int32"))
 
@@ -146,16 +147,39 @@ def budget(window: Column, reply: Column, fixed: Column) -> Column:
 
 
 def recent_history(turns: DataFrame, thread: str, order: list[str], most: int, chars: int, size: str) -> DataFrame:
-    """The last `most` messages of each thread within `chars`, from a user message on; whole turns are left out, the last one stays."""
-    w = Window.partitionBy(thread).orderBy(*[F.desc(c) for c in order])
+    """The last `most` messages of each thread within `chars`, from a user message on; whole turns are left out, the last one stays.
+
+    A thread of no more than `most` messages counts whole; one without a user message among its last ones counts from its last
+    user message on, or whole if it has none.
+    """
+    at = F.struct(*order)
+    back = Window.partitionBy(thread).orderBy(*[F.desc(c) for c in order])
     # a bounded number of rows per thread is left before anything is put in order again
-    last = turns.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
-    up = Window.partitionBy(thread).orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, 0)
-    turn = last.withColumn("__turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(up)).where("__turn > 0")
-    sums = turn.groupBy(thread, "__turn").agg(F.sum(size).alias("__s"))
-    back = Window.partitionBy(thread).orderBy(F.desc("__turn"))
-    fit = sums.withColumn("__used", F.sum("__s").over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__r", F.row_number().over(back)).where((F.col("__used") <= chars) | (F.col("__r") == 1))
-    return turn.join(fit.select(thread, "__turn"), [thread, "__turn"], "left_semi").drop("__n", "__turn")
+    last = turns.withColumn("__n", F.row_number().over(back)).where(F.col("__n") <= most + 1)
+    whole = F.max("__n").over(Window.partitionBy(thread)) <= most
+    questions = F.max(F.when((F.col("role") == "user") & (F.col("__n") <= most), 1).otherwise(0)).over(Window.partitionBy(thread))
+    last = last.withColumn("__whole", whole).withColumn("__asked", questions)
+    late = last.where("__asked = 0 and not __whole").select(thread).distinct()
+    since = turns.join(late, thread, "left_semi").groupBy(thread).agg(F.max(F.when(F.col("role") == "user", at)).alias("__u"))
+    tail = turns.join(since, thread).where(F.col("__u").isNull() | (at >= F.col("__u"))).select(*turns.columns, F.lit(0).cast("bigint").alias("__turn"))
+    # turns are counted from the end: 0 from the last user message on, 1 from the one before it, and so on
+    later = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(Window.partitionBy(thread).orderBy("__n").rowsBetween(Window.unboundedPreceding, 0))
+    own = last.where((F.col("__n") <= most) & (F.col("__whole") | (F.col("__asked") > 0))).withColumn("__turn", later - F.when(F.col("role") == "user", 1).otherwise(0))
+    told = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(Window.partitionBy(thread))
+    own = own.withColumn("__told", told).where(F.col("__whole") | (F.col("__turn") < F.col("__told"))).select(*turns.columns, F.col("__turn").cast("bigint").alias("__turn"))
+    kept = own.unionByName(tail)
+    sums = kept.groupBy(thread, "__turn").agg(F.sum(size).alias("__s"))
+    used = F.sum("__s").over(Window.partitionBy(thread).orderBy("__turn").rowsBetween(Window.unboundedPreceding, 0))
+    fit = sums.withColumn("__used", used).where((F.col("__used") <= chars) | (F.col("__turn") == 0))
+    return kept.join(fit.select(thread, "__turn"), [thread, "__turn"], "left_semi").drop("__turn")
+
+
+def shortened(history: DataFrame, thread: str, order: list[str], chars: int, size: str, most: int = 400) -> DataFrame:
+    """history with its older tool results cut to `most` characters where a thread is still over `chars`; the last result stays whole."""
+    total = F.sum(size).over(Window.partitionBy(thread))
+    last = F.max(F.when(F.col("role") == "tool", F.struct(*order))).over(Window.partitionBy(thread))
+    cut_ = (total > chars) & (F.col("role") == "tool") & (F.struct(*order) < last) & (F.length("content") > most)
+    return history.withColumn("content", F.when(cut_, F.concat(F.substring("content", 1, most), F.lit("\n…[shortened to fit context]"))).otherwise(F.col("content")))
 
 
 def repeated_calls(calls: DataFrame, run: str, order: str, signature: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsql.functions.detectors import SENSITIVE
 from docsql.functions.structured import valid_date
 from docsql.functions.text import identifier
 from docsql.sources.delimited import RULES
@@ -97,21 +101,69 @@ def import_table(df: DataFrame, name: str, if_exists: str = "error", comment: st
     return spark.table(name).count() if if_exists == "append" else out.count()
 
 
-def describe(spark: SparkSession, name: str, most: int = 12) -> str:
-    """A table as DDL-like text: columns, types, comments, and the values of columns that hold few."""
-    from docsql.functions.detectors import SENSITIVE
+@dataclass(frozen=True)
+class Keys:
+    """What Spark's tables cannot say of themselves: primary key, references (column to table and column), defaults, not null."""
+
+    primary: str | None = None
+    references: dict[str, tuple[str, str]] = field(default_factory=dict)
+    defaults: dict[str, str] = field(default_factory=dict)
+    required: tuple[str, ...] = ()
+    checks: tuple[str, ...] = ()
+
+
+def _shown(v: str) -> str:
+    return "'" + (v if len(v) <= 40 else v[:40] + "…") + "'"
+
+
+def sampled_values(df: DataFrame, columns: list[str], key: str | None, referenced: bool, most: int = 12) -> dict[str, str]:
+    """The values of columns that hold few, as text.
+
+    A small table that others refer to tells each value with its key. Elsewhere a column counts as categorical when it has at
+    most `most` values and each stands twice on average, among at most 4 * most rows that are looked at.
+    """
+    out: dict[str, str] = {}
+    if referenced and key:
+        rows = df.select(key, *columns).orderBy(key).limit(most + 1).collect()
+        for c in columns:
+            held = [r for r in rows if r[c] is not None]
+            if held and len(rows) <= most:
+                text = ", ".join(f"{_shown(str(r[c]))} ({key} {r[key]})" for r in held)
+                out[c] = text[:400] + ("…" if len(text) > 400 else "")
+    left = [c for c in columns if c not in out]
+    if not left:
+        return out
+    stat = df.agg(*[F.approx_count_distinct(c).alias(c) for c in left]).first()  # one pass; a column of many values is not gathered
+    for c in (c for c in left if stat[c] <= 2 * most):
+        held = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v"))
+        values = [r[0] for r in held.distinct().orderBy("v").limit(most + 1).collect()]
+        if values and len(values) <= most and (referenced or held.limit(4 * most).count() >= 2 * len(values)):
+            text = ", ".join(map(_shown, values))
+            out[c] = text[:300] + ("…" if len(text) > 300 else "")
+    return out
+
 
-    df = spark.table(name)
-    rows = [r for r in spark.sql(f"DESCRIBE TABLE {name}").collect() if r[0] and not r[0].startswith("#")]
+def describe(spark: SparkSession, name: str, most: int = 12, keys: dict[str, Keys] | None = None) -> str:
+    """A table as DDL-like text: its comment, columns with types, defaults and comments, the values of columns that hold few, keys and checks."""
+    keys = keys or {}
+    own = keys.get(name, Keys())
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+    end = next((i for i, r in enumerate(described) if not r[0] or r[0].startswith("#")), len(described))
+    rows = described[:end]
+    note = next((r[1] for r in described[end:] if r[0] == "Comment"), None)
+    referenced = any(t == name for k in keys.values() for t, _ in k.references.values())
     texts = [r[0] for r in rows if r[1] == "string" and not SENSITIVE.search(r[0])]
-    kept: dict[str, list[str]] = {}
-    if texts:
-        # one pass; a column of more than `most` values is recognised by its approximate count and not gathered
-        stat = df.agg(*[F.approx_count_distinct(c).alias(c) for c in texts], *[F.count(c).alias(f"{c}__n") for c in texts]).first()
-        few = [c for c in texts if stat[c] <= most + 2]
-        for c in few:
-            values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(most + 1).collect()]
-            if values and len(values) <= most and stat[f"{c}__n"] >= 2 * len(values):
-                kept[c] = [v if len(v) <= 40 else v[:40] + "…" for v in values]
-    lines = [f"  {r[0]} {r[1]}" + (f" -- {r[2]}" if r[2] else "") + (f" -- values: {', '.join(repr(v) for v in kept[r[0]])}" if r[0] in kept else "") for r in rows]
-    return f"table {name} (\n" + ",\n".join(lines) + "\n)"
+    kept = sampled_values(spark.table(name), texts, own.primary, referenced, most) if most else {}
+    line = lambda t: re.sub(r"\s+", " ", t).strip()
+    lines: list[tuple[str, str]] = []
+    for column, kind, comment in rows:
+        told = [line(comment)] if comment else []
+        if column in kept:
+            told.append(f"values: {kept[column]}")
+        parts = [column, kind, *(["not null"] if column in own.required else []), *([f"default {own.defaults[column]}"] if column in own.defaults else [])]
+        lines.append((" ".join(parts), "; ".join(told)))
+    lines += [(f"primary key ({own.primary})", "")] if own.primary else []
+    lines += [(f"foreign key ({c}) references {t}({k})", "") for c, (t, k) in own.references.items()]
+    lines += [(f"check ({c})", "") for c in own.checks]
+    body = [f"  {text}{',' if i < len(lines) - 1 else ''}{f' -- {told}' if told else ''}" for i, (text, told) in enumerate(lines)]
+    return f"table {name} ({f' -- {line(note)}' if note else ''}\n" + "\n".join(body) + "\n)"

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsql.functions.detectors import BULLET, is_page_number
+from docsql.functions.numeric import percentiles
 from docsql.functions.text import running_key
 
 # Shares of the font size that part lines, cells and words, and what makes a heading.
 LINE, CELL, WORD, HEADING, LONGEST_HEADING = 0.5, 0.8, 0.15, 1.15, 150
+BODY, WIDER_GAP, SHORT, WIDTH_AT, NO_SPACING = 0.5, 1.4, 0.75, 0.75, 1.2
 
 
 def lines(glyphs: DataFrame) -> DataFrame:
@@ -48,23 +50,44 @@ def with_levels(rows: DataFrame) -> DataFrame:
     body = weight.groupBy("doc").agg(F.max_by("half", F.struct("n", "half")).alias("body"))
     j = sized.join(body, "doc").withColumn("head", (F.col("size") / F.col("body") >= HEADING) & (F.length("text") <= LONGEST_HEADING))
     ranks = j.where("head").select("doc", "half").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("half"))))
-    return j.join(ranks, ["doc", "half"], "left").withColumn("level", F.when(F.col("head"), F.least(F.lit(3), F.col("rank"))).otherwise(0)).drop("half", "head", "rank", "body")
+    return j.join(ranks, ["doc", "half"], "left").withColumn("level", F.when(F.col("head"), F.least(F.lit(3), F.col("rank"))).otherwise(0)).drop("half", "head", "rank")
+
+
+def line_measures(rows: DataFrame) -> DataFrame:
+    """rows (of with_levels) with plain (a line of body text), gap to the line above, spacing (the usual gap between plain lines of the
+    document) and full (the width that a quarter of its plain lines reach; null for fewer than three of them)."""
+    w = Window.partitionBy("doc", "page").orderBy("line")
+    g = rows.withColumn("plain", (F.abs(F.col("size") - F.col("body")) < BODY) & (F.size("cells") == 1)).withColumn("gap", F.lag("y").over(w) - F.col("y")).withColumn("__p", F.lag("plain").over(w))
+    plain = g.where("plain").select("doc", (F.col("end_x") - F.col("x")).alias("width"))
+    widths = percentiles(plain, ["doc"], "width", {"full": WIDTH_AT}).join(plain.groupBy("doc").agg(F.count("*").alias("__n")), "doc").where("__n >= 3").select("doc", "full")
+    spacing = percentiles(g.where("plain and __p and gap > 0").select("doc", "gap"), ["doc"], "gap", {"spacing": 0.5})
+    return g.join(spacing, "doc", "left").join(widths, "doc", "left").withColumn("spacing", F.coalesce("spacing", F.col("body") * NO_SPACING)).drop("__p")
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """doc, text: Markdown of a document's lines; a wider gap, a heading, a bullet or a row of cells begins a new block."""
+    """doc, text: Markdown of a document's lines.
+
+    A block ends where the level of headings changes, before a wider gap or another column, a bullet or a number, before and
+    after a row of cells, and after a short line that ends a sentence. Hyphens between blocks' lines are resolved; the first
+    row of a table gets a rule; list items stand close.
+    """
     w = Window.partitionBy("doc").orderBy("page", "line")
-    gap = F.lag("y").over(w) - F.col("y")
-    usual = F.percentile(F.when((F.col("level") == 0) & (F.col("g") > 0), F.col("g")), 0.5)
-    g = rows.withColumn("g", gap)
-    g = g.join(g.groupBy("doc").agg(usual.alias("usual")), "doc")
-    plain = (F.col("level") == 0) & (F.size("cells") == 1) & ~F.col("text").rlike(BULLET)
-    new = ~plain | ~F.lag(plain).over(w) | (F.col("g") > F.coalesce("usual", F.lit(0.0)) * 1.4) | F.lag("level").over(w).isNull()
-    b = g.withColumn("block", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    said = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level").cast("int")), F.lit(" "), "text")).when(F.size("cells") > 1, F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))).otherwise(F.regexp_replace("text", BULLET, "- "))
-    joined = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", said.alias("t")))), lambda x: x["t"]), "\n"), r"(?<=\p{L})-\n(?=\p{Ll})", "")
-    blocks = b.groupBy("doc", "block").agg(F.regexp_replace(joined, "\n", " ").alias("t"))
-    return blocks.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+    before = lambda c: F.lag(c).over(w)
+    m = line_measures(rows).withColumn("row", F.size("cells") > 1)
+    m = m.withColumn("short", F.col("plain") & (F.col("end_x") - F.col("x") < F.col("full") * SHORT) & F.col("text").rlike(r"[.!?:;]$"))
+    item = F.col("text").rlike(BULLET) | F.col("text").rlike(r"^\(?\d{1,2}[.)]\s")
+    new = before("level").isNull() | F.col("row") | before("row") | (F.col("level") != before("level")) | ((F.col("level") > 0) & (F.abs(F.col("size") - before("size")) > BODY)) | (F.col("gap") > F.col("spacing") * WIDER_GAP) | (F.col("gap") < 0) | F.coalesce(before("short"), F.lit(False)) | item
+    b = m.withColumn("block", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cell = F.transform("cells", lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))
+    said = F.when(F.col("row"), F.concat(F.lit("| "), F.array_join(cell, " | "), F.lit(" |"))).otherwise(F.regexp_replace("text", BULLET, "- "))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", said.alias("t")))), lambda x: x["t"]), "\n")
+    blocks = b.groupBy("doc", "block").agg(F.first("level").alias("level"), F.first("row").alias("row"), F.first(F.size("cells")).alias("width"), F.regexp_replace(F.regexp_replace(joined, r"(?<=[A-Za-zÀ-ÿ])-\n(?=[a-zà-ÿ])", ""), "\n", " ").alias("t"))
+    v = Window.partitionBy("doc").orderBy("block")
+    listed = F.col("t").rlike(r"^(- |\d{1,2}\. )")
+    above = F.coalesce(F.lag("row").over(v), F.lit(False))
+    tight = (F.col("row") & above) | (listed & ~F.col("row") & F.coalesce(F.lag(listed).over(v), F.lit(False)))
+    text = F.concat(F.when(F.lag("block").over(v).isNull(), "").when(tight, "\n").otherwise("\n\n"), F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level").cast("int")), F.lit(" "))).otherwise(""), "t", F.when(F.col("row") & ~above, F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("width")))).otherwise(""))
+    return blocks.withColumn("t", text).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "t"))), lambda x: x["t"]), "").alias("text"))
 
 
 def markdown(glyphs: DataFrame) -> DataFrame:
@@ -76,3 +99,9 @@ def event_data(body: Column) -> Column:
     events = F.split(F.regexp_replace(body, "\r\n?", "\n"), "\n\n+")
     data = F.transform(events, lambda e: F.array_join(F.transform(F.filter(F.split(e, "\n"), lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", "")), "\n"))
     return F.filter(data, lambda d: d != "")
+
+
+def ndjson_lines(body: Column) -> Column:
+    """Lines of newline-delimited JSON, as variants; blank lines and those that are no JSON are left out."""
+    lines = F.transform(F.split(body, "\r?\n"), lambda x: F.try_parse_json(F.trim(x)))
+    return F.filter(lines, lambda v: v.isNotNull())
