@@ -68,10 +68,30 @@ def _scalar(v: object) -> str:
     return "" if v is None or v in ([], {}) else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
+@F.pandas_udf(T.StringType())
+def _as_text(value: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else json_text(_load(v)) for v in value])
+
+
+@F.pandas_udf(T.BooleanType())
+def _is_flat(value: pd.Series) -> pd.Series:
+    return pd.Series([flat_records(_load(v)) for v in value])
+
+
+def as_text(value: Column) -> Column:
+    """A JSON text as indented text; what is no JSON is empty."""
+    return _as_text(value)
+
+
+def is_flat(value: Column) -> Column:
+    """A JSON text is a list of objects without nested values, which makes a table."""
+    return _is_flat(value)
+
+
 def merge_json(a: Column, b: Column) -> Column:
     """Shallow merge of two JSON objects; the second wins. Values keep their types; what is no object counts as empty.
 
-    Equal keys within one object: the last counts. The result has the keys of `a` first.
+    Equal keys within one object: the last counts. The order of keys means nothing.
     """
     obj = "map<string,variant>"
     x, y = (F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", obj), F.create_map().cast(obj)) for c in (a, b))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsql.functions.detectors import SENSITIVE
 from docsql.functions.structured import valid_date
@@ -28,6 +30,12 @@ def header_names(header: list[str | None]) -> list[str]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def clean_headers(headers: pd.Series) -> pd.Series:
+    """Header rows as header names."""
+    return pd.Series([None if h is None else header_names(list(h)) for h in headers])
+
+
 def column_identifiers(names: list[str]) -> list[str]:
     out: list[str] = []
     for i, n in enumerate(names):

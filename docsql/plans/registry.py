@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsql.plans import analytics, assistant, pipelines, records
+from docsql.plans import analytics, assistant, pipelines, records, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [analytics, assistant, pipelines, records]
+MODULES = [analytics, assistant, pipelines, records, texts]
 
 
 def queries() -> dict[str, Query]:
