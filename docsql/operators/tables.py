@@ -6,13 +6,13 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsql.functions.detectors import SENSITIVE
 from docsql.functions.structured import valid_date
-from docsql.functions.text import identifier
+from docsql.functions.text import identifier, quoted_identifier, quoted_literal
 from docsql.sources.delimited import RULES
 
 ZONED = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
@@ -93,20 +93,26 @@ def typed(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     return df.select(*cols)
 
 
-def import_table(df: DataFrame, name: str, if_exists: str = "error", comment: str | None = None) -> int:
-    """Writes text columns as a typed table with comments; gives the number of rows. if_exists: error, replace or append."""
+def import_table(df: DataFrame, name: str, if_exists: str = "error", comment: str | None = None, path: str | None = None, types: dict[str, str] | None = None) -> int:
+    """Writes text columns as a typed table with comments; gives the number of rows. if_exists: error, replace or append.
+
+    path: where the table's files lie, else in the warehouse. types: those of an earlier import, for rows that are appended.
+    """
     spark = df.sparkSession
-    out = typed(df)
+    out = typed(df, types)
     mode = {"error": "errorifexists", "replace": "overwrite", "append": "append"}[if_exists]
-    out.write.mode(mode).format("parquet").saveAsTable(name)
+    if if_exists == "append":
+        held = dict(spark.table(name).dtypes)
+        out = out.select(*[F.col(c).try_cast(held[c]).alias(c) for c in held])
+    rows = Observation()
+    writer = out.observe(rows, F.count("*").alias("n")).write.mode(mode).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     if comment:
-        text = comment.replace("'", "''")
-        spark.sql(f"COMMENT ON TABLE {name} IS '{text}'")
+        spark.sql(f"COMMENT ON TABLE {quoted_identifier(name)} IS {quoted_literal(comment)}")
     for original, column in zip(df.columns, out.columns):
-        if original != column:
-            text = original.replace("'", "''")
-            spark.sql(f"ALTER TABLE {name} ALTER COLUMN `{column}` COMMENT '{text}'")
-    return spark.table(name).count() if if_exists == "append" else out.count()
+        if original != column and if_exists != "append":
+            spark.sql(f"ALTER TABLE {quoted_identifier(name)} ALTER COLUMN {quoted_identifier(column)} COMMENT {quoted_literal(original)}")
+    return spark.table(name).count() if if_exists == "append" else rows.get["n"]
 
 
 @dataclass(frozen=True)

@@ -289,102 +289,179 @@ def _runs(p: ElementTree.Element) -> str:
     return "".join(out)
 
 
+@dataclass
+class _Block:
+    text: str
+    listed: bool = False
+    size: float = 0.0  # of its largest letters, in half points
+
+
+@dataclass
+class _Styles:
+    """Paragraph styles: levels of headings and font sizes, each looked up along the styles that one is based on."""
+
+    levels: dict[str | None, int] = field(default_factory=dict)
+    sizes: dict[str | None, float] = field(default_factory=dict)
+    based: dict[str | None, str | None] = field(default_factory=dict)
+    usual: float = 22.0
+
+    @classmethod
+    def of(cls, root: ElementTree.Element | None) -> _Styles:
+        out = cls()
+        if root is None:
+            return out
+        default = _attr(next((x for d in _all(root, "rPrDefault") for x in _all(d, "sz")), None), "val")
+        out.usual = float(default or 22)
+        for style in _all(root, "style"):
+            key, name = _attr(style, "styleId"), (_attr(_first(style, "name"), "val") or "").lower()
+            level, named = _attr(_first(style, "pPr", "outlineLvl"), "val"), re.fullmatch(r"heading (\d)", name)
+            out.levels[key] = int(level) + 1 if level and int(level) < 6 else int(named[1]) if named else 1 if name == "title" else 0
+            out.sizes[key] = float(_attr(_first(style, "rPr", "sz"), "val") or 0)
+            out.based[key] = _attr(_first(style, "basedOn"), "val")
+        return out
+
+    def _along(self, values: dict, key: str | None, otherwise: float) -> float:
+        for _ in range(6):
+            if values.get(key):
+                return values[key]
+            key = self.based.get(key)
+        return otherwise
+
+    def level(self, key: str | None) -> int:
+        return int(self._along(self.levels, key, 0))
+
+    def size(self, key: str | None) -> float:
+        return self._along(self.sizes, key or "Normal", self.usual)
+
+
+def _list_kinds(root: ElementTree.Element | None) -> dict[tuple[str | None, str | None], str]:
+    """(list, level) to the format of its marks."""
+    if root is None:
+        return {}
+    abstract = {_attr(a, "abstractNumId"): {_attr(v, "ilvl"): _attr(_first(v, "numFmt"), "val") or "bullet" for v in _all(a, "lvl")} for a in _all(root, "abstractNum")}
+    return {(_attr(n, "numId"), level): kind for n in root if _bare(n.tag) == "num" for level, kind in abstract.get(_attr(_first(n, "abstractNumId"), "val"), {}).items()}
+
+
+_typed_number = re.compile(r"\s*(\d{1,3}|[a-zA-Z])[.)]?\t+")
+_typed_bullet = re.compile(r"[•●▪◦‣■□➢►✓–*-]\s+")
+
+
+def _by_size(blocks: list[_Block]) -> None:
+    """Short paragraphs in letters larger than most of the text become headings, the largest first."""
+    weight: dict[float, int] = {}
+    for b in blocks:
+        if b.size:
+            weight[b.size] = weight.get(b.size, 0) + len(b.text)
+    body = max(weight, key=lambda k: weight[k], default=0)
+    heads = [b for b in blocks if body and b.size >= 1.15 * body and len(b.text) <= 150 and "\n" not in b.text]
+    ranks = sorted({b.size for b in heads}, reverse=True)
+    for b in heads:
+        b.text = "#" * min(3, ranks.index(b.size) + 1) + " " + b.text
+
+
 def docx_to_markdown(data: bytes) -> str:
     z = zipfile.ZipFile(io.BytesIO(data))
     body = _first(_xml(z, "word/document.xml"), "body")
-    styles, based = {}, {}
-    root = _xml(z, "word/styles.xml")
-    for s in _all(root, "style") if root is not None else []:
-        key = _attr(s, "styleId")
-        level = _attr(_first(s, "pPr", "outlineLvl"), "val")
-        named = re.fullmatch(r"heading (\d)", (_attr(_first(s, "name"), "val") or "").lower())
-        styles[key] = int(level) + 1 if level else int(named[1]) if named else 1 if (_attr(_first(s, "name"), "val") or "").lower() == "title" else 0
-        based[key] = _attr(_first(s, "basedOn"), "val")
-    kinds: dict[tuple[str, str], str] = {}
-    numbering = _xml(z, "word/numbering.xml")
-    if numbering is not None:
-        abstract = {_attr(a, "abstractNumId"): {_attr(v, "ilvl"): _attr(_first(v, "numFmt"), "val") for v in _all(a, "lvl")} for a in _all(numbering, "abstractNum")}
-        for n in (x for x in numbering if _bare(x.tag) == "num"):
-            for lvl, kind in abstract.get(_attr(_first(n, "abstractNumId"), "val"), {}).items():
-                kinds[_attr(n, "numId"), lvl] = kind or "bullet"
-    out: list[str] = []
-    counters: dict[str, list[int]] = {}
-
-    def paragraph(p: ElementTree.Element) -> None:
-        text = _runs(p).strip()
+    styles, kinds = _Styles.of(_xml(z, "word/styles.xml")), _list_kinds(_xml(z, "word/numbering.xml"))
+    blocks: list[_Block] = []
+    counters: dict[str | None, list[int]] = {}
+
+    def paragraph(p: ElementTree.Element) -> _Block | None:
+        raw = _runs(p)
+        text = raw.strip()
         if not text:
-            return
-        style = _attr(_first(p, "pPr", "pStyle"), "val")
-        level = 0
-        for _ in range(5):
-            level = styles.get(style, 0)
-            if level or style is None:
-                break
-            style = based.get(style)
-        num = _first(p, "pPr", "numPr")
+            return None
+        style, outline, num = _attr(_first(p, "pPr", "pStyle"), "val"), _attr(_first(p, "pPr", "outlineLvl"), "val"), _first(p, "pPr", "numPr")
+        level = int(outline) + 1 if outline and int(outline) < 6 else styles.level(style)
+        key = _attr(_first(num, "numId"), "val")
         if level:
-            out.append(f"{'#' * min(level, 6)} {text}")
-        elif num is not None and (_attr(_first(num, "numId"), "val") or "0") != "0":
-            key, depth = _attr(_first(num, "numId"), "val"), int(_attr(_first(num, "ilvl"), "val") or 0)
+            return _Block("#" * min(level, 6) + " " + re.sub(r"\n+", " ", text))
+        if key and key != "0":
+            depth = int(_attr(_first(num, "ilvl"), "val") or 0)
             n = counters.setdefault(key, [0] * 9)
             n[depth] += 1
             n[depth + 1 :] = [0] * (8 - depth)
             mark = f"{n[depth]}." if kinds.get((key, str(depth)), "bullet") not in ("bullet", "none") else "-"
-            out.append(f"{'  ' * depth}{mark} {text}")
-        else:
-            out.append(text)
+            return _Block(f"{'  ' * depth}{mark} {text}", True)
+        number = _typed_number.match(raw)
+        if number:
+            return _Block(f"{number[1]}. {raw[number.end() :].strip()}", True)
+        if _typed_bullet.match(text):
+            return _Block(_typed_bullet.sub("- ", text, count=1), True)
+        sizes = [float(_attr(_first(r, "rPr", "sz"), "val") or styles.size(style)) for r in _all(p, "r") if "".join(t.text or "" for t in _all(r, "t")).strip()]
+        return _Block(text, False, max(sizes, default=styles.size(style)))
 
     def walk(e: ElementTree.Element) -> None:
         for c in e:
             name = _bare(c.tag)
             if name == "p":
-                paragraph(c)
+                new = paragraph(c)
+                blocks.extend([new] if new else [])
             elif name == "tbl":
-                out.append(_grid([[" ".join(_runs(p).strip() for p in _all(cell, "p")).strip() for cell in row if _bare(cell.tag) == "tc"] for row in c if _bare(row.tag) == "tr"]))
-            elif name in ("sdt", "sdtContent", "ins"):
+                grid = _grid([[" ".join(x for x in (re.sub(r"\s+", " ", _runs(p)).strip() for p in _all(cell, "p")) if x) for cell in row if _bare(cell.tag) == "tc"] for row in c if _bare(row.tag) == "tr"])
+                blocks.extend([_Block(grid)] if grid else [])
+            elif name in ("sdt", "sdtContent", "customXml", "ins"):
                 walk(c)
 
     if body is not None:
         walk(body)
-    return re.sub(r"\n\n(?=( *)(?:- |\d+\. ))", "\n", "\n\n".join(x for x in out if x))
+    _by_size(blocks)
+    parts = [("\n" if b.listed and before is not None and before.listed else "\n\n") + b.text for before, b in zip([None, *blocks], blocks)]
+    return "".join(parts)[2:]
+
+
+def _shape_lines(shape: ElementTree.Element) -> list[str]:
+    """Paragraphs of a shape. Those of a placeholder have bullets unless they say otherwise; numbers go on as long as they follow each other."""
+    holder = next(iter(_all(shape, "ph")), None)
+    bulleted = holder is not None and (_attr(holder, "type") or "body") not in ("title", "ctrTitle", "subTitle")
+    counts: dict[int, int] = {}
+    out = []
+    for p in (c for t in _all(shape, "txBody") for c in t if _bare(c.tag) == "p"):
+        look = _first(p, "pPr")
+        depth = int(_attr(look, "lvl") or 0)
+        text = re.sub(r"\s+", " ", "".join(" " if _bare(r.tag) == "br" else "".join(t.text or "" for t in _all(r, "t")) for r in p if _bare(r.tag) in ("r", "fld", "br"))).strip()
+        if _first(look, "buAutoNum") is not None:
+            counts[depth] = counts.get(depth, 0) + 1
+            mark = f"{counts[depth]}. "
+        else:
+            counts.pop(depth, None)
+            mark = "- " if _first(look, "buChar") is not None or bulleted and _first(look, "buNone") is None else ""
+        if text:
+            out.append(("  " * depth if mark else "") + mark + text)
+    return out
+
+
+def _bare_lines(shape: ElementTree.Element) -> list[str]:
+    return [re.sub(r"^ *(?:- |\d+\. )", "", x) for x in _shape_lines(shape)]
 
 
 def pptx_slides(data: bytes, notes: bool = True) -> list[tuple[int, str | None, str]]:
-    """(number, title, text) of each slide in order of the presentation."""
+    """(number, title, text) of each slide in order of the presentation; slides without a title and any text are left out."""
     z = zipfile.ZipFile(io.BytesIO(data))
     main = _xml(z, "ppt/presentation.xml")
     rels = _relations(z, "ppt/presentation.xml")
     order = [rels[i] for s in (_all(main, "sldId") if main is not None else []) if (i := next((v for k, v in s.attrib.items() if k.endswith("}id")), None)) in rels]
+    if not order:
+        order = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
     out = []
-
-    def lines(shape: ElementTree.Element) -> list[str]:
-        found = []
-        for p in _all(shape, "p"):
-            text = "".join(t.text or "" for t in _all(p, "t")).strip()
-            depth = int(_attr(_first(p, "pPr"), "lvl") or 0)
-            if text:
-                found.append("  " * depth + "- " + text if depth else text)
-        return found
-
     for n, part in enumerate(order, 1):
         slide = _xml(z, part)
         title, body = None, []
-        for shape in _all(slide, "sp") + _all(slide, "graphicFrame") if slide is not None else []:
+        for shape in (x for x in slide.iter() if _bare(x.tag) in ("sp", "graphicFrame")) if slide is not None else []:
             kind = _attr(next(iter(_all(shape, "ph")), None), "type")
-            if kind in ("dt", "ftr", "sldNum"):
-                continue
             if _bare(shape.tag) == "graphicFrame":
-                body.append(_grid([[" ".join(lines(c)) for c in _all(r, "tc")] for r in _all(shape, "tr")]))
+                grid = _grid([["".join(t.text or "" for t in _all(c, "t")) for c in _all(r, "tc")] for r in _all(shape, "tr")])
+                body += [grid] if grid else []
+            elif kind in ("dt", "ftr", "sldNum"):
+                continue
             elif kind in ("title", "ctrTitle") and title is None:
-                title = " ".join(lines(shape)) or None
+                title = " ".join(_bare_lines(shape)) or None
             else:
-                body += lines(shape)
-        if notes:
-            for rel in _relations(z, part).values():
-                if "notesSlide" in rel:
-                    said = [x for s in _all(_xml(z, rel), "sp") if _attr(next(iter(_all(s, "ph")), None), "type") == "body" for x in lines(s)]
-                    body += ["Notes: " + " ".join(said)] if said else []
-        out.append((n, title, "\n".join(x for x in body if x)))
+                body += _shape_lines(shape)
+        said = [x for rel in _relations(z, part).values() if notes and "notesSlide" in rel for s in _all(_xml(z, rel), "sp") if _attr(next(iter(_all(s, "ph")), None), "type") == "body" for x in _bare_lines(s)]
+        parts = [f"## Slide {n}" + (f": {title}" if title else ""), "\n".join(body), "Speaker notes: " + " ".join(said) if said else ""]
+        if title or body or said:
+            out.append((n, title, "\n\n".join(x for x in parts if x)))
     return out
 
 
