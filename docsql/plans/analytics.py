@@ -105,11 +105,6 @@ def report_compare(s, d):
 
 
 # -- joins, sorts -------------------------------------------------------------------------------------------------------
-def never_ordered(s, d):
-    """J-17: anti join"""
-    return part(s, d).join(lineitem(s, d), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
-
-
 def top_customers(s, d):
     """J-16, O-11: the ten customers of most revenue"""
     j = lineitem(s, d).join(orders(s, d), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.round(F.sum(F.expr(_price)), 2).alias("revenue"))
@@ -178,11 +173,6 @@ def cited(s, d):
     return _messages(s, d).select("id", F.array_join(text.cited_numbers(F.col("content")), ",").alias("cited")).where("cited <> ''")
 
 
-def message_numbers(s, d):
-    """T-17: the sum of the numbers a message states"""
-    return _messages(s, d).select("id", F.size(text.numbers_in(F.col("content"))).alias("n"), F.round(F.aggregate(text.numbers_in(F.col("content")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
-
-
 def message_flags(s, d):
     """T-20, F-10, F-13"""
     c = F.col("content")
@@ -195,11 +185,6 @@ def message_intents(s, d):
     return _messages(s, d).select("id", detectors.looks_secret(c).alias("secret"), detectors.asks_to_remember(c).alias("remember"), detectors.asks_to_forget(c).alias("forget"))
 
 
-def looping_documents(s, d):
-    """T-24"""
-    return docs(s, d).where(text.reasoning_loops(F.col("text"))).select("doc_id")
-
-
 def redacted_documents(s, d):
     """F-11"""
     return docs(s, d).select("doc_id", F.sha2(detectors.redact_injections(F.col("text")), 256).alias("redacted_hash"))
@@ -215,12 +200,6 @@ def date_contexts(s, d):
     return events(s, d).select(F.to_date("ts").alias("day")).distinct().select("day", structured.date_context(F.col("day")).alias("context"))
 
 
-def source_locality(s, d):
-    """F-19, F-20"""
-    u = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("http://localhost:8080/", "https://10.0.0.7/", "https://files.local/", "https://example.com/", "http://[::1]/", "")]), (F.col("doc_id") % 6 + 1).cast("int")), F.coalesce("source", F.lit("")))
-    return docs(s, d).select("doc_id", detectors.locality(u).alias("locality"), detectors.matches_origin("*.example.com", F.replace(u, F.lit("//example"), F.lit("//a.example"))).alias("matches"))
-
-
 def metadata_filter(s, d):
     """F-3: containment"""
     return ingest(s, d).where(structured.json_contains(F.col("metadata"), {"department": "lab", "status": "current"})).select("id").distinct()
@@ -364,6 +343,12 @@ _WILSON = """(select k, n, p, (p / n + 1.96 * 1.96 / (2 * n)) as mid, 1.96 * sqr
 _ONE = "(select * from (select *, row_number() over (partition by id order by received_at desc) as rn from ingest_documents) where rn = 1)"
 
 
+#: A text holds a credential: what is written behind its name has a digit or a sign; a card number; a key; a bare password.
+SECRET = r"""(list_bool_or(list_prepend(false, list_transform(regexp_extract_all(content, '(?i)\b(?:password|passcode|passphrase|pin|api[ _-]?key|secret|token|credentials?|cvv)\b\W{0,3}(?:is|was|:|=)\s*["''`]?(\S{4,})', 1), lambda x: regexp_matches(x, '[\d!@#$%^&*]'))))
+    or regexp_matches(content, '\b(?:\d[ -]?){13,19}\b') or regexp_matches(content, '\b(sk|pk|rk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{10,}') or regexp_matches(content, '-----BEGIN [A-Z ]*PRIVATE KEY-----')
+    or list_bool_or(list_prepend(false, list_transform(list_transform(regexp_extract_all(content, '\S{8,}'), lambda x: rtrim(ltrim(x, '"''`('), '"''`).,;:!?')), lambda x: length(x) >= 8 and regexp_matches(x, '[A-Za-z]') and regexp_matches(x, '[0-9]') and regexp_matches(x, '[^\w\s]') and not regexp_matches(x, '(?i)^[a-z]+://|^[^@\s]+@[^@\s]+\.[a-z]+$')))))"""
+
+
 def _pct(p: float, v: str = "value") -> str:
     return f"list_sort(list({v}))[least(count({v}) - 1, floor({p} * count({v})))::int + 1]"
 
@@ -388,7 +373,6 @@ SQL: dict[str, str] = {
     "report_compare": f"""with a as (select k, p / n as rate, greatest(0, (mid - w) / den) as low, least(1, (mid + w) / den) as high from {_WILSON.format('event_type', 'where user_id % 2 = 0')}),
         b as (select k, p / n as rate, greatest(0, (mid - w) / den) as low, least(1, (mid + w) / den) as high from {_WILSON.format('event_type', 'where user_id % 2 = 1')})
         select a.k as event_type, a.rate as before, b.rate as after, b.rate - a.rate as change, b.low > a.high or b.high < a.low as significant from a join b on a.k = b.k""",
-    "never_ordered": "select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey)",
     "top_customers": f"select c_custkey, c_name, revenue from (select o_custkey, round(sum({_rev}), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey group by 1) join customer on o_custkey = c_custkey order by revenue desc, c_custkey limit 10",
     "last_three_orders": "select o_custkey, o_orderkey, o_orderdate, rn::int as rn from (select o_custkey, o_orderkey, o_orderdate, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) where rn <= 3",
     "recent_threads": "select distinct id, title, updated_at from threads order by updated_at desc nulls last, id limit 20",
@@ -404,15 +388,13 @@ SQL: dict[str, str] = {
     "message_flags": f"with {_MESSAGES} select id, "
     + ", ".join(f"regexp_matches(content, '(?i){'|'.join(f'(?:{p})' for p in ps).replace(chr(39), chr(39) * 2)}') as {n}" for n, ps in (("declines", text.DECLINES), ("injected", [detectors.INJECTION]), ("reworks", [detectors.REWORK])))
     + " from m",
-    "looping_documents": r"""with s as (select doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')) as s from documents),
-        n as (select doc_id, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')) as s from s)
-        select distinct doc_id from (select doc_id, s, count(*) as c from n where length(s) >= 40 group by all) where c >= 4""",
+    "message_intents": f"with {_MESSAGES} select id, {SECRET} as secret, regexp_matches(content, '(?i)\\b(remember|don''?t forget|keep in mind|make a note|note that|update what you (know|remember))\\b[^.?!]*(?:[.!]|\\z)') as remember, regexp_matches(regexp_replace(content, '(?i)don''?t (forget|delete what you (know|remember)|stop remembering)', 'X', 'g'), '(?i)\\b(forget|delete what you (know|remember)|stop remembering)\\b[^.?!]*(?:[.!]|\\z)') as forget from m",
+    "redacted_documents": f"select doc_id, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda p: case when regexp_matches(p, '(?i){detectors.INJECTION}') then '{detectors.REMOVED}' else p end), chr(10))) as redacted_hash from documents",
     "event_clock": "select event_id, case when s >= 3600 then (s // 3600) || ':' || lpad(((s // 60) % 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') else lpad((s // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') end as clock from (select event_id, greatest(0, floor(value * 60 - 30))::bigint as s from events)",
     "date_contexts": """with d as (select distinct ts::date as day from events), l as (select day, ((8 - (dayofweek(day) + 1)) % 7)::int as left from d)
         select day, 'Today is ' || strftime(day, '%A %Y-%m-%d') || '. Tomorrow is ' || strftime(day + 1, '%A %Y-%m-%d') || '.'
           || case when "left" > 0 then chr(10) || 'Rest of this week: ' || array_to_string(list_transform(range(1, "left" + 1), lambda i: strftime(day + i::int, '%A %Y-%m-%d')), ', ') || '.' else '' end
           || chr(10) || 'Next week: ' || array_to_string(list_transform(range("left" + 1, "left" + 8), lambda i: strftime(day + i::int, '%A %Y-%m-%d')), ', ') || '.' as context from l""",
-    "source_locality": "select doc_id, ['device', 'local-network', 'local-network', 'remote', 'device', 'device'][doc_id % 6 + 1] as locality, doc_id % 6 = 3 as matches from documents",
     "metadata_filter": """select distinct id from ingest_documents where json_extract_string(metadata, '$.department') = 'lab' and json_extract_string(metadata, '$.status') = 'current'""",
     "tagged_filter": """select distinct id from ingest_documents where json_extract_string(metadata, '$.status') = 'current' and list_contains(json_extract_string(metadata, '$.tags[*]'), 'pilot')""",
     "merged_metadata": f"select id, 'seen' as status, json_extract_string(metadata, '$.department') as department from {_ONE} where id is not null",
@@ -453,9 +435,9 @@ SQL: dict[str, str] = {
 
 QUERIES = [
     collection_stats, embedding_progress, revenue, average_order, month_over_month, nations_of_region, distinct_buyers, dominant_language, repeated_edge_lines, pass_rates,
-    case_repeats, latency, report_compare, never_ordered, top_customers, last_three_orders, recent_threads, find_customers, thread_message_join, title_terms, document_ids,
-    document_labels, compact_texts, embedding_inputs, cited, message_numbers, message_flags, message_intents, looping_documents, redacted_documents, event_clock, date_contexts,
-    source_locality, metadata_filter, tagged_filter, merged_metadata, latest_user_message, message_gaps, role_runs, passage_budget, citation_numbers, cosine_to_first, short_vectors,
+    case_repeats, latency, report_compare, top_customers, last_three_orders, recent_threads, find_customers, thread_message_join, title_terms, document_ids,
+    document_labels, compact_texts, embedding_inputs, cited, message_flags, message_intents, redacted_documents, event_clock, date_contexts,
+    metadata_filter, tagged_filter, merged_metadata, latest_user_message, message_gaps, role_runs, passage_budget, citation_numbers, cosine_to_first, short_vectors,
     vector_top, keyword_top, hybrid_search, relevant_hits, retrieval_quality, floor_calibration,
 ]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsql.functions import text
 from docsql.operators import assistant, ordered
+from docsql.plans.analytics import SECRET
 from docsql.runtime import one_per_key, table
 
 _ROLE = "lower(trim(get_json_object(message, '$.role')))"
@@ -56,7 +57,7 @@ def column_identifiers(s, d):
 def packed_chunks(s, d):
     """P-7: chunks of each document in batches of 4000 characters"""
     c = table(s, d, "chunks").where("document_id is not null and content is not null").groupBy("document_id", "ordinal").agg(F.min(F.length("content")).alias("size"))
-    return assistant.packed(c, "document_id", "ordinal", "size", 4000)
+    return assistant.packed(c, "document_id", "ordinal", "size", 4000, joint=2)
 
 
 def token_batches(s, d):
@@ -97,7 +98,21 @@ def top_sources(s, d):
 _T = "t as (select thread_id, created_at, id, lower(trim(json_extract_string(m, '$.role'))) as role, json_extract_string(m, '$.content') as content, m from (select *, case when json_valid(message) then message::json end as m from messages where thread_id is not null) where lower(trim(json_extract_string(m, '$.role'))) in ('user', 'assistant', 'tool'))"
 _C = f"""{_T}, c as (select thread_id, created_at, id, pos, x->>'$.name' as name, x->'$.input' as input from
   (select thread_id, created_at, id, unnest(range(json_array_length(m, '$.toolCalls')::bigint)) as pos, unnest(json_extract(m, '$.toolCalls[*]')) as x from (select distinct on (id) * from t where role = 'assistant') where json_type(m, '$.toolCalls') = 'ARRAY'))"""
+_SIZES = "c as (select document_id, ordinal, min(length(content))::int as size, row_number() over (partition by document_id order by ordinal) as i from chunks where document_id is not null and content is not null group by 1, 2)"
 SQL: dict[str, str] = {
+    "packed_chunks": f"""with recursive {_SIZES}, r as (select document_id, ordinal, size, i, 0 as batch, size + 2 as used from c where i = 1
+        union all select c.document_id, c.ordinal, c.size, c.i, case when used + c.size > 4000 then batch + 1 else batch end, case when used + c.size > 4000 then 0 else used end + c.size + 2 from r join c on c.document_id = r.document_id and c.i = r.i + 1)
+        select document_id, ordinal, size, batch from r""",
+    "token_batches": f"""with recursive {_SIZES}, r as (select document_id, ordinal, size, i, 0 as batch, 1 as n, size as longest from c where i = 1
+        union all select c.document_id, c.ordinal, c.size, c.i, case when (n + 1) * greatest(longest, c.size) > 8000 then batch + 1 else batch end, case when (n + 1) * greatest(longest, c.size) > 8000 then 1 else n + 1 end, case when (n + 1) * greatest(longest, c.size) > 8000 then c.size else greatest(longest, c.size) end from r join c on c.document_id = r.document_id and c.i = r.i + 1)
+        select document_id, ordinal, size, batch from r""",
+    "recent_turns": f"""with {_T}, u as (select distinct on (id) thread_id, created_at, id, role, coalesce(length(content), 0) as size from t),
+        a as (select *, row_number() over (partition by thread_id order by created_at desc, id desc) as n, count(*) over (partition by thread_id) as total from u),
+        b as (select *, sum((role = 'user')::int) over (partition by thread_id order by n) - (role = 'user')::int as turn, sum((role = 'user' and n <= 20)::int) over (partition by thread_id) as told from a),
+        k as (select * from b where total <= 20 or (n <= 20 and told > 0 and turn < told) or (told = 0 and turn = 0)),
+        f as (select thread_id, turn, sum(s) over (partition by thread_id order by turn) as used from (select thread_id, turn, sum(size) as s from k group by 1, 2))
+        select thread_id, id from k join f using (thread_id, turn) where used <= 2000 or turn = 0""",
+    "memorable_facts": f"with {_T}, c as (select distinct id, content from t where role = 'user' and content is not null) select id from c where trim(content) <> '' and not {SECRET}",
     "tool_usage": f"with {_C} select name, count(*) as calls, count(distinct thread_id) as threads from c group by 1",
     "repeated_tools": f"with {_C}, p as (select *, lag(name || ' ' || input) over (partition by thread_id order by created_at, id, pos) as prev from c) select name, count(*) filter (name || ' ' || input = prev) as repeated from p group by 1",
     "follow_ups": f"with {_T}, u as (select distinct on (id) * from t where role = 'user' and content is not null), p as (select *, lag(content) over (partition by thread_id order by created_at, id) as prev from u) select id, sha256(prev || chr(10) || content) as query_hash from p where prev is not null and len(regexp_split_to_array(trim(content), '\\s+')) <= 12",

@@ -135,7 +135,7 @@ def scanned_files(s, d):
     line = lambda page, y, size, *text: F.concat(F.lit(f"\n{page}|{y}|{size}|"), *text)
     pages = [F.lit("%PDF-1.7")]
     for n in (1, 2, 3, 4):
-        pages += [line(n, 800, 9, F.lit("Yearly list of parts")), line(n, 790, 9, F.lit("for the stores")), line(n, 770, 18, F.lit(f"Chapter {n} of "), k), line(n, 740, 10, F.lit("The parts of this brand are counted every mor-")), line(n, 728, 10, F.lit("ning and once more before the evening begins")), line(n, 716, 10, F.lit("by those on duty.")), line(n, 704, 10, F.lit("Size "), z, F.lit(" is the usual one in all of the stores.")), line(n, 680, 10, F.lit("• a point")), line(n, 20, 9, F.lit(f"Page {n} of 4"))]
+        pages += [line(n, 800, 9, F.lit("Yearly list of parts")), line(n, 790, 9, F.lit("for the stores")), line(n, 770, 18, F.lit(f"Chapter {n} of "), k), line(n, 740, 10, F.lit("The parts of this brand are counted every mor-")), line(n, 728, 10, F.lit("ning and once more before the evening begins")), line(n, 716, 10, F.lit("by those on duty.")), line(n, 704, 10, F.lit("Size "), z, F.lit(" is the usual one in all of the stores.")), line(n, 680, 10, F.lit("• " + ("north", "east", "south", "west")[n - 1])), line(n, 20, 9, F.lit(f"Page {n} of 4"))]
     pdf = F.encode(F.concat(*pages), "UTF-8")
     broken = F.encode(F.lit("%PDF-1.7\nbroken"), "UTF-8")
     image = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode(F.concat(z, F.lit("| text "), k, F.lit(" ")), "UTF-8"))
@@ -173,7 +173,7 @@ SQL: dict[str, str] = {
           case e when 'xlsx' then '["name","day","n"]' end as columns,
           case e when 'xlsx' then '[["' || p_name || '","' || (date '2023-03-15' + p_size) || '","' || case p_partkey % 2 when 1 then 'TRUE' else 'FALSE' end || '"],[null,null,"' || p_size || '.25"]]' end as cells, null::varchar as error from f""",
     "scanned_files": """with f as (select unnest(['pdf', 'png']) as e, * from part),
-        c as (select p_partkey, array_to_string(list_transform(range(1, 5), lambda n: '# Chapter ' || n || ' of ' || p_partkey || chr(10) || chr(10) || 'The parts of this brand are counted every morning and once more before the evening begins by those on duty.' || chr(10) || chr(10) || 'Size ' || p_size || ' is the usual one in all of the stores.' || chr(10) || chr(10) || '- a point'), chr(10) || chr(10)) as text from part)
+        c as (select p_partkey, array_to_string(list_transform(range(1, 5), lambda n: '# Chapter ' || n || ' of ' || p_partkey || chr(10) || chr(10) || 'The parts of this brand are counted every morning and once more before the evening begins by those on duty.' || chr(10) || chr(10) || 'Size ' || p_size || ' is the usual one in all of the stores.' || chr(10) || chr(10) || '- ' || ['north', 'east', 'south', 'west'][n]), chr(10) || chr(10)) as text from part)
         select '/in/' || p_partkey || '.' || e as path, case when e = 'pdf' and p_partkey % 5 = 4 then 'error' else 'document' end as kind, case when e = 'png' then case when p_size >= 30 then 'text ' || p_partkey else '' end when p_partkey % 5 < 4 then text end as content, e = 'pdf' and p_partkey % 5 = 4 as failed, case e when 'png' then 'image' else e end as format from f join c using (p_partkey)""",
     "imported_table": """select p_partkey::int as part_no, p_name as name, case when p_partkey % 7 > 0 then p_size end as size_cm, (p_size || '.' || lpad((p_partkey % 100)::varchar, 2, '0'))::decimal(4,2) as unit_price, p_size > 20 as large, ('2024-01-' || lpad((p_partkey % 28 + 1)::varchar, 2, '0'))::date as since from part cross join (select unnest(range(2)) as i) where i = 0 or p_partkey = 1""",
 }

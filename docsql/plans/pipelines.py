@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsql.functions import numeric
 from docsql.operators import chunking, ingest, tables
+from docsql.plans import records
 from docsql.runtime import one_per_key, shared_dir, table
-from docsql.sources import delimited, files
+from docsql.sources import delimited
 from docsql.streaming import windows
 
 
@@ -24,12 +24,6 @@ def chunk_texts(s, d):
     return c.select("id", "ordinal", F.length("content").alias("chars"), F.sha2("content", 256).alias("hash"))
 
 
-def hash_vectors(s, d):
-    """M-3: chunk inputs as vectors, the sum of squares is 1"""
-    v = _one(s, d).where("content is not null").select("id", numeric.hash_embed(F.col("content")).alias("v"))
-    return v.select("id", F.round(numeric.norm(F.col("v")), 6).alias("norm"))
-
-
 def _stored(s, d):
     """A stored state that differs: one collection is new, one has other titles, one other metadata."""
     new = ingest.prepared(_one(s, d))
@@ -93,33 +87,21 @@ def streamed_events(s, d):
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-def stitched_transcripts(s, d):
-    """ST-2: windows cut from the sentences of each text, as overlapping transcripts, stitched again"""
-    t = table(s, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("audio_id"), F.split("text", r"(?<=[.!?])\s+").alias("said"))
-    # a sentence takes 5 s: a window of 30 s has 6, the next begins with the last of them
-    last = F.greatest(F.lit(0), F.ceil((F.size("said") - 6) / 5)).cast("int")
-    seg = lambda k: F.transform(F.slice("said", k * 5 + 1, 6), lambda x, i: F.struct(((k * 5 + i) * 5.0).alias("start"), ((k * 5 + i) * 5.0 + 5).alias("end"), x.alias("text")))
-    w = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k * 25.0).alias("start"), (k * 25.0 + 30).alias("end"), seg(k).alias("segments")))
-    return windows.stitched(t.select("audio_id", F.explode(w).alias("w")).select("audio_id", "w.*")).select("audio_id", "start", "end", F.sha2("text", 256).alias("hash"))
-
-
-def loaded_files(s, d):
-    """S-1 to S-11, S-23: texts, pages, tables and a broken file, each through its loader"""
-    rows = [
-        ("notes.md", b"---\ntitle: Notes\n---\n# Heading\n\nbody"),
-        ("page.html", b"<html><head><title>Page</title></head><body><nav>menu</nav><main><h1>A</h1><p>b &amp; c</p><ul><li>x<li>y</ul></main></body></html>"),
-        ("rows.csv", b'a;b\n1;"x\ny"\n2;z\n'),
-        ("rows.json", b'[{"a":1},{"b":"x"}]'),
-        ("tree.json", b'{"a":{"b":[1,2]}}'),
-        ("old.doc", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"),
-        ("plain.txt", "café".encode("cp1252")),
-    ]
-    return files.load_binaries(s.createDataFrame(rows, "path string, content binary")).select("path", "kind", "title", "content", F.size("rows").alias("n_rows"), F.col("error").isNotNull().alias("failed"))
-
-
+_WHOLE, _DAY = "regexp_full_match(x, '-?(0|[1-9][0-9]*)')", "try_cast(x[1:10] as date) is not null"
+_TIME = "[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?"
+_TYPES = {
+    "integer": f"{_WHOLE} and abs(coalesce(try_cast(x as hugeint), 9999999999)) <= 2147483647",
+    "bigint": f"{_WHOLE} and try_cast(x as bigint) is not null",
+    "numeric": "regexp_full_match(x, '-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?|-?[.][0-9]+')",
+    "boolean": "lower(x) in ('true', 'false')",
+    "date": f"regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and {_DAY}",
+    "timestamp": f"regexp_full_match(x, '{_TIME}') and {_DAY}",
+    "timestamptz": f"regexp_full_match(x, '{_TIME}(Z|[+-][0-9]{{2}}(:?[0-9]{{2}})?)') and {_DAY}",
+}
+_TYPE_TESTS = " ".join(f"when bool_and({t}) filter (x is not null) then '{n}'" for n, t in _TYPES.items())
 _PREPARED = "(select distinct id, coalesce(collection, 'default') as collection from ingest_documents where content is not null and id is not null)"
 SQL: dict[str, str] = {
-    "hash_vectors": "select id, case when regexp_matches(content, '[\\p{L}\\p{N}]') then 1.0 else 0.0 end as norm from (select * from (select *, row_number() over (partition by id order by received_at desc) as rn from ingest_documents) where rn = 1) where content is not null",
+    "column_types": records._CELLS + f"""select table_id, column_no, case {_TYPE_TESTS} else 'text' end as type from (select table_id, unnest(range(width))::int as column_no, unnest(vals) as x from (select v.*, {records.REASON} as reason from v left join b on v.rn = b.rn) where reason is null) group by 1, 2""",
     "ingest_actions": f"select id, case collection when 'lab' then 'added' when 'tickets' then 'changed' when 'faq' then 'metadata' else 'skipped' end as action from {_PREPARED}",
     "ingest_runs": f"with p as (select * from {_PREPARED}) select 'added' as step, count(*) as n from p union all select 'skipped', count(*) from p union all select 'removed', count(*) from p where collection = 'lab' union all select 'left', count(*) from p where collection <> 'lab'",
     "row_texts": "select p_partkey, 'p_name: ' || p_name || '; p_brand: ' || p_brand || '; p_size: ' || p_size as line from part",
@@ -132,7 +114,7 @@ SQL: dict[str, str] = {
         select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n from r group by user_id, run""",
     "streamed_events": "select event_type, count(distinct event_id) as n from events group by 1",
 }
-QUERIES = [chunk_texts, hash_vectors, ingest_actions, ingest_runs, column_types, row_texts, section_texts, sample_windows, event_windows, stalls, streamed_events, stitched_transcripts, loaded_files]
+QUERIES = [chunk_texts, ingest_actions, ingest_runs, column_types, row_texts, section_texts, sample_windows, event_windows, stalls, streamed_events]
 
 
 def queries() -> dict:

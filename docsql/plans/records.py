@@ -37,12 +37,15 @@ b as (select rn, bool_or(x is not null and not case k
 """
 
 
+REASON = "case when width is null or s is null then 'width' when not whole then 'quoting' when len(cells) <> width then 'width' when bad then 'value' end"
+
+
 def queries() -> dict:
     return {"p4_found": p4_found, "p4_clean": p4_clean}
 
 
 def oracle_sql() -> dict[str, str]:
-    reason = "case when width is null or s is null then 'width' when not whole then 'quoting' when len(cells) <> width then 'width' when bad then 'value' end"
+    reason = REASON
     return {
         "p4_found": _CELLS + f"select row_id, reason from (select distinct row_id, table_id, row_no, s, {reason} as reason from v left join b on v.rn = b.rn) where reason is not null",
         "p4_clean": _CELLS + f"select row_id, table_id, row_no, vals as values from (select v.*, {reason} as reason from v left join b on v.rn = b.rn) where reason is null",

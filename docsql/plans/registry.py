@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsql.plans import analytics, assistant, loading, pipelines, records, texts
+from docsql.plans import analytics, assistant, loading, pipelines, records, stores, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [analytics, assistant, loading, pipelines, records, texts]
+MODULES = [analytics, assistant, loading, pipelines, records, stores, texts]
 
 
 def queries() -> dict[str, Query]:
