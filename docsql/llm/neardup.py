@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsql.runtime import cut, one_per_key
+from docsql.runtime import cut, drop_path, one_per_key
 
 LEAST_BITS, MOST_BITS = 16, 26
 SLICES = 16
@@ -317,6 +317,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         step = state.join(seen, state["node"] == seen["a"], "left").select("node", "group", F.least("group", F.coalesce("least", "group")).alias("next"))
         jump = state.select(F.col("node").alias("next"), F.col("group").alias("far"))
         new = cut(step.join(jump, "next").select("node", F.least("next", "far").alias("group"), (F.least("next", "far") != F.col("group")).alias("moved")), "labels")
+        drop_path(state)
         if not new.where("moved").limit(1).count():
             return new.drop("moved")
         state = new.drop("moved")
