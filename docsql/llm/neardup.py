@@ -12,8 +12,9 @@ that remain are verified on the whole sets.
 
 Rarity comes from a frequency table over all records: counts by hash bucket, a byte each, exact up to 31 and in steps of
 an eighth of a power of two beyond. It has twice as many buckets as there are triples, LEAST_BITS to MOST_BITS bits (64 MB at
-the most), so a triple that stands in one record is mostly known as such and replicates nothing. The table decides only how
-much work there is, never which pairs come out.
+the most), so a triple that stands in one record is mostly known as such and replicates nothing. For more than CROWDED
+triples a bucket it would tell nothing; then triples are counted exactly, by an aggregate, and the counts of those in two
+records or more are joined to the records. Frequencies decide only how much work there is, never which pairs come out.
 
 Defined results: a null title or content is empty; a record of fewer than three words resembles nothing; repeated rows
 of an id count once (the one received last); rows with a null id are ignored; equal sets are one class, searched once; an
@@ -37,6 +38,7 @@ from docsql.runtime import cut, drop_path, one_per_key
 
 LEAST_BITS, MOST_BITS = 16, 26
 SLICES = 16
+CROWDED = 16  # triples a bucket, at the largest size of the table, beyond which triples are counted one by one
 COUNTED = 4_000_000  # triples a task counts before it hands the counts on
 SKETCH_WORDS = 8
 HOT, BLOCK = 4096, 2048
@@ -103,8 +105,11 @@ class Frequencies:
         return self.counts[self.codes[(elements >> np.uint64(64 - self.bits)).astype(np.int64)]]
 
 
-def frequency_table(sets: DataFrame) -> Frequencies:
+def frequency_table(sets: DataFrame) -> Frequencies | None:
+    """The table; null where there are too many triples for one."""
     total = sets.agg(F.sum("n")).first()[0] or 0
+    if total > CROWDED << MOST_BITS:
+        return None
     bits = min(MOST_BITS, max(LEAST_BITS, (2 * int(total)).bit_length()))
     size = (1 << bits) // SLICES
 
@@ -141,6 +146,34 @@ def frequency_table(sets: DataFrame) -> Frequencies:
     return Frequencies(bits, out)
 
 
+def with_counts(sets: DataFrame) -> DataFrame:
+    """key, elements, counts (binary, int64 beside each element) of sets, counted by an aggregate. A count of 1 needs no row: it is what no join finds."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                raw = b.column("elements").slice(k, 1000).to_pylist()
+                e = np.frombuffer(b"".join(raw), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("key").slice(k, 1000).to_numpy(), [len(r) // 8 for r in raw])), pa.array(e)], ["key", "element"])
+
+    each = sets.select("key", "elements").mapInArrow(explode, "key bigint, element bigint")
+    often = each.groupBy("element").agg(F.count("*").alias("c")).where("c > 1")
+    held = each.join(often, "element").groupBy("key").agg(F.collect_list(F.struct("element", "c")).alias("often"))  # of one record
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = []
+            for raw, rows in zip(b.column("elements").to_pylist(), b.column("often").to_pylist()):
+                e, c = np.frombuffer(raw, np.uint64), np.ones(len(raw) // 8, np.int64)
+                if rows:
+                    at = np.array([r["element"] for r in rows], np.int64).view(np.uint64)
+                    c[np.searchsorted(e, at)] = [r["c"] for r in rows]
+                counts.append(c.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("elements"), pa.array(counts, pa.binary())], ["key", "elements", "counts"])
+
+    return sets.select("key", "elements").join(held, "key", "left").mapInArrow(beside, "key bigint, elements binary, counts binary")
+
+
 def _least(share: Fraction, n: int) -> int:
     return math.ceil(share * n)
 
@@ -179,7 +212,7 @@ def region_pairs(part: tuple[np.ndarray, ...], t: float) -> tuple[np.ndarray, np
 
 
 def sliced(elements: np.ndarray, t: float) -> Iterator[tuple[int, bool, np.ndarray]]:
-    """(slicing and slice, home, elements) of a record: in the slices of its own size class, and, as a guest, in those of
+    """(slicing and slice, home, places of its elements) of a record: in the slices of its own size class, and, as a guest, in those of
     the next class if its partners may be of that."""
     n = len(elements)
     k = 1
@@ -189,7 +222,7 @@ def sliced(elements: np.ndarray, t: float) -> Iterator[tuple[int, bool, np.ndarr
         if home or n >= t * SLICE_SIZE * k - 1e-9:
             which = ((elements >> np.uint64(12)) & np.uint64(slices - 1)).astype(np.int64)
             for s in range(slices):
-                part = elements[which == s] if slices > 1 else elements
+                part = np.flatnonzero(which == s)
                 if len(part):
                     yield slices + s, home, part
 
@@ -197,18 +230,17 @@ def sliced(elements: np.ndarray, t: float) -> Iterator[tuple[int, bool, np.ndarr
 _COLUMNS = ["region", "n", "key", "pos", "index", "block", "cross", "home", "whole"]
 
 
-def candidate_pairs(sets: DataFrame, counts: Frequencies, t: float) -> DataFrame:
+def candidate_pairs(sets: DataFrame, counts: Frequencies | None, t: float) -> DataFrame:
     """Distinct (a, b) keys of sets that may have a similarity of at least t; no pair that has is missing."""
     share = Fraction(t).limit_denominator(1000)
     shared = sets.sparkSession.sparkContext.broadcast(counts)
     schema = "region bigint, n int, key bigint, pos int, index boolean, block int, cross boolean, home boolean, whole int, sketch binary"
 
-    def rows_of(raw: bytes, key: int, often: Frequencies, cols: list[list], sketches: list[bytes]) -> None:
+    def rows_of(raw: bytes, key: int, known: np.ndarray, cols: list[list], sketches: list[bytes]) -> None:
         every = np.frombuffer(raw, np.uint64)
-        for place, home, e in sliced(every, t):
-            n = len(e)
+        for place, home, at in sliced(every, t):
+            n, e, c = len(at), every[at], known[at]
             sketch = bit_sketch(e).tobytes()
-            c = often.of(e)
             order = np.lexsort((e, c))[: n - _least(share, n) + 1]
             pos = np.flatnonzero(c[order] > 1)  # a bucket with one record holds no pair
             e, c = e[order][pos], c[order][pos]
@@ -230,8 +262,10 @@ def candidate_pairs(sets: DataFrame, counts: Frequencies, t: float) -> DataFrame
             for k in range(0, b.num_rows, 500):
                 cols: list[list] = [[] for _ in _COLUMNS]
                 sketches: list[bytes] = []
-                for key, raw in zip(b.column("key").slice(k, 500).to_pylist(), b.column("elements").slice(k, 500).to_pylist()):
-                    rows_of(raw, key, often, cols, sketches)
+                raws = b.column("elements").slice(k, 500).to_pylist()
+                told = [often.of(np.frombuffer(r, np.uint64)) for r in raws] if often else [np.frombuffer(c, np.int64) for c in b.column("counts").slice(k, 500).to_pylist()]
+                for key, raw, c in zip(b.column("key").slice(k, 500).to_pylist(), raws, told):
+                    rows_of(raw, key, c, cols, sketches)
                 if sketches:
                     yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in cols], pa.array(sketches, pa.binary())], [*_COLUMNS, "sketch"])
 
@@ -256,7 +290,7 @@ def candidate_pairs(sets: DataFrame, counts: Frequencies, t: float) -> DataFrame
         if held is not None:
             yield out(held)
 
-    laid = sets.select("key", "elements").mapInArrow(replicate, schema)
+    laid = (sets.select("key", "elements") if counts else with_counts(sets)).mapInArrow(replicate, schema)
     laid = laid.repartition("region").sortWithinPartitions("region", "n", "key")
     return laid.mapInArrow(join, "a bigint, b bigint").distinct()
 

@@ -138,10 +138,10 @@ def language_counts(docs: DataFrame) -> DataFrame:
     return docs.select("source", "metadata", "content").mapInArrow(run, "word string, follower string, n bigint").groupBy("word", "follower").agg(F.sum("n").alias("n"))
 
 
-def readings(word: str) -> dict[str, tuple[list[int], int]]:
+def readings(word: str, edits: int = MOST_EDITS) -> dict[str, tuple[list[int], int]]:
     """Words that `word` may have been. Word to (confusions, place of the first in `word`).
 
-    All its digits and signs are undone, and as many confusions of letters as MOST_EDITS leaves.
+    All its digits and signs are undone, and as many confusions of letters as `edits` leaves.
     """
     must = signs(word)
     if not readable(word):
@@ -150,7 +150,7 @@ def readings(word: str) -> dict[str, tuple[list[int], int]]:
     fixed = [[x for x in spots if x[0] == i] for i in must]
     free = sorted(x for x in spots if x[0] not in must)
     out: dict[str, tuple[list[int], int]] = {}
-    for n in range(max(0, MOST_EDITS - len(must)) + 1):
+    for n in range(max(0, edits - len(must)) + 1):
         for some, forced in product(combinations(free, n), product(*fixed)):
             chosen = sorted((*some, *forced))
             if any(i + len(CONFUSIONS[k][0]) > j for (i, k), (j, _) in zip(chosen, chosen[1:])):
@@ -180,18 +180,26 @@ def word_candidates(words: DataFrame, counts: DataFrame) -> tuple[DataFrame, flo
 
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, new, ks, at) for w in b.column("word").to_pylist() for new, (ks, at) in readings(w).items()]
+            rows = [(w, new, ks, at) for w, edits in zip(b.column("word").to_pylist(), b.column("edits").to_pylist()) for new, (ks, at) in readings(w, edits).items()]
             for k in range(0, max(1, len(rows)), 20_000):
                 part = rows[k : k + 20_000]
                 cols = list(zip(*part)) if part else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32()))], ["word", "candidate", "confusions", "place"])
 
-    made = types.select("word").mapInArrow(generate, "word string, candidate string, confusions array<int>, place int")
-    known = cut(made.join(one.select(F.col("word").alias("candidate"), F.col("n").alias("m")), "candidate").join(types, "word"), "p6-readings")
+    def found(asked: DataFrame) -> DataFrame:
+        made = asked.select("word", "edits").mapInArrow(generate, "word string, candidate string, confusions array<int>, place int")
+        return cut(made.join(one.select(F.col("word").alias("candidate"), F.col("n").alias("m")), "candidate").join(types, "word"), "p6-readings")
+
+    unknown = found(types.where("n = 0").withColumn("edits", F.lit(MOST_EDITS)))
     # the channel: how often each confusion alone explains an unknown word; at most as many rows as there are confusions
-    seen = dict(known.where("n = 0 and size(confusions) = 1").groupBy(F.col("confusions")[0]).count().collect())
+    seen = dict(unknown.where("size(confusions) = 1").groupBy(F.col("confusions")[0]).count().collect())
     every = sum(seen.values()) + len(CONFUSIONS)
-    log_p = F.array(*[F.lit(math.log(ERRORS * (seen.get(k, 0) + 1) / every)) for k in range(len(CONFUSIONS))])
+    costs = [math.log(ERRORS * (seen.get(k, 0) + 1) / every) for k in range(len(CONFUSIONS))]
+    log_p = F.array(*map(F.lit, costs))
+    # a known word is doubted for as many confusions as even the most frequent word could outweigh
+    most = float(one.agg(F.max("n")).collect()[0][0] or 1)
+    edits = F.floor((math.log(most) - math.log(1 - ERRORS) + OPEN - F.log("n")) / -max(costs)).cast("int")
+    known = unknown.unionByName(found(types.where("n > 0").withColumn("edits", F.least(edits, F.lit(MOST_EDITS))).where("edits > 0")))
     channel = F.aggregate("confusions", F.lit(0.0), lambda s, k: s + F.get(log_p, k))
     p = lambda n: F.log(F.greatest(F.col(n).cast("double"), F.lit(UNSEEN)) / total)
     kept = F.log(F.lit(1 - ERRORS)) + p("n")

@@ -95,10 +95,12 @@ def test_frequencies_are_coded_in_a_byte():
     assert (back[:5] == n[:5]).all() and (back[:9] <= n[:9]).all() and (back[:8] * 1.1 >= n[:8]).all()
 
 
-@pytest.mark.parametrize("hot, slice_size, bits", [(4096, 320, 26), (3, 320, 26), (4096, 9, 26), (3, 320, 4)])
+@pytest.mark.parametrize("hot, slice_size, bits", [(4096, 320, 26), (3, 320, 26), (4096, 9, 26), (3, 320, 4), (4096, 320, 0)])
 def test_near_duplicates(spark, monkeypatch, hot, slice_size, bits):
     monkeypatch.setattr(neardup, "MOST_BITS", bits)
     monkeypatch.setattr(neardup, "LEAST_BITS", min(16, bits))
+    if not bits:  # counted one by one
+        monkeypatch.setattr(neardup, "CROWDED", 0)
     monkeypatch.setattr(neardup, "SLICE_SIZE", slice_size)
     monkeypatch.setattr(neardup, "HOT", hot)
     monkeypatch.setattr(neardup, "BLOCK", max(2, hot // 2))
