@@ -36,7 +36,8 @@ _price = "l_extendedprice * (1 - l_discount)"
 def revenue(s, d):
     """A-4: revenue of orders that are not cancelled (status P stands for cancelled here)."""
     j = lineitem(s, d).join(orders(s, d).where("o_orderstatus <> 'P'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.agg(F.coalesce(F.sum(F.expr(_price)), F.lit(0.0)).cast("decimal(18,2)").alias("revenue"))
+    exact = "cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2)))"
+    return j.agg(F.coalesce(F.sum(F.expr(exact)), F.lit(0)).cast("decimal(18,2)").alias("revenue"))
 
 
 def average_order(s, d):
@@ -356,7 +357,7 @@ def _pct(p: float, v: str = "value") -> str:
 SQL: dict[str, str] = {
     "collection_stats": "select collection, count(*) as documents, coalesce(sum(n_chars), 0)::bigint as chars from documents group by 1",
     "embedding_progress": "select count(*) as total, count(embedding) as done, count(*) - count(embedding) as remaining from chunks",
-    "revenue": f"select coalesce(sum({_rev}), 0)::decimal(18,2) as revenue from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus <> 'P'",
+    "revenue": f"select coalesce(sum(l_extendedprice::decimal(12,2) * (1 - l_discount::decimal(4,2))), 0)::decimal(18,2) as revenue from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus <> 'P'",
     "average_order": f"select round(avg(t), 2) as aov from (select sum({_rev}) as t from lineitem group by l_orderkey)",
     "month_over_month": "select round(((select sum(o_totalprice) from orders where o_orderdate >= timestamp '1996-02-01' and o_orderdate < timestamp '1996-03-01') / (select sum(o_totalprice) from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-02-01') - 1) * 100, 1) as pct",
     "nations_of_region": "select r_name, string_agg(n_name, ', ' order by n_name) as nations from nation join region on n_regionkey = r_regionkey group by 1",

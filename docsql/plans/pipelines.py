@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsql.operators import chunking, ingest, tables
 from docsql.plans import records
-from docsql.runtime import one_per_key, shared_dir, table
+from docsql.runtime import one_per_key, table, work_dir
 from docsql.sources import delimited
 from docsql.streaming import windows
 
@@ -38,7 +38,7 @@ def ingest_actions(s, d):
 
 def ingest_runs(s, d):
     """P-1, K-5, K-6, K-8: an ingest, the same again, and the removal of a collection"""
-    store = ingest.Store(s, f"{shared_dir(s)}/store-{uuid.uuid4().hex}")
+    store = ingest.Store(s, f"{work_dir(s)}/store-{uuid.uuid4().hex}")
     one = _one(s, d)
     first, again = store.ingest(one), store.ingest(one)
     gone = store.clear("lab")
@@ -83,10 +83,18 @@ def streamed_events(s, d):
     """ST-10: a stream of events without repeated ids, drained"""
     schema = table(s, d, "events").schema
     stream = s.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
-    out = windows.drained(windows.first_of_each(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts").select("event_id", "event_type"), f"{shared_dir(s)}/stream-{uuid.uuid4().hex}")
+    out = windows.drained(windows.first_of_each(stream.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts").select("event_id", "event_type"), f"{work_dir(s)}/stream-{uuid.uuid4().hex}")
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def streamed_documents(s, d):
+    """ST-10: a stream of documents without those whose content came before, told by its hash"""
+    schema = table(s, d, "documents").schema
+    stream = s.readStream.schema(schema).parquet(f"{d}/document[s].parquet").select("doc_id", F.coalesce("collection", F.lit("default")).alias("collection"), "updated_at", F.sha2(F.to_json(F.array("collection", "title", "text")), 256).alias("content_hash"))
+    out = windows.drained(windows.first_of_each(stream, "content_hash", "updated_at", "10000 days"), f"{work_dir(s)}/stream-{uuid.uuid4().hex}")
+    return out.groupBy("collection").agg(F.count("*").alias("n"))
+
+
 _WHOLE, _DAY = "regexp_full_match(x, '-?(0|[1-9][0-9]*)')", "try_cast(x[1:10] as date) is not null"
 _TIME = "[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?"
 _TYPES = {
@@ -112,9 +120,10 @@ SQL: dict[str, str] = {
     "stalls": """with g as (select user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) >= 1800000000, true) as opens from events),
         r as (select *, sum(opens::int) over (partition by user_id order by ts rows unbounded preceding) as run from g)
         select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n from r group by user_id, run""",
+    "streamed_documents": "select coalesce(collection, 'default') as collection, count(*) as n from (select distinct collection, title, text from documents) group by 1",
     "streamed_events": "select event_type, count(distinct event_id) as n from events group by 1",
 }
-QUERIES = [chunk_texts, ingest_actions, ingest_runs, column_types, row_texts, section_texts, sample_windows, event_windows, stalls, streamed_events]
+QUERIES = [chunk_texts, ingest_actions, ingest_runs, column_types, row_texts, section_texts, sample_windows, event_windows, stalls, streamed_events, streamed_documents]
 
 
 def queries() -> dict:
