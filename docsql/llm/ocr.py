@@ -40,8 +40,9 @@ FLUSH = 300_000
 
 _OUTER = ".,;:?()[]{}\"'“”„«»‘’*•…"
 _word = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_visible = re.compile(r"\S+").finditer
 _code = re.compile(r"[a-z]?\d+[a-z]?-?\d*[a-z]?|[a-z]\d.*|.*\d.*\d.*\d.*|.*@.*[.@].*|https?:.*")
-_digits = re.compile(r"\S*\d\S*")
+_digits = re.compile(r"(?<!\S)[^\s\d]*\d\S*")  # looked for at the beginnings of words only
 _single = {read for read, _ in CONFUSIONS if len(read) == 1}
 LINES = "id string, line_no int, kind string, text string, words array<string>, places array<int>, start string, mark string, rest string, next_line int"
 _LINES = pa.schema([("id", pa.string()), ("line_no", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("words", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("start", pa.string()), ("mark", pa.string()), ("rest", pa.string()), ("next_line", pa.int32())])
@@ -61,11 +62,13 @@ def readable(word: str) -> bool:
 def tokens(line: str) -> list[tuple[int, str]]:
     """(place, word) of the words a scanner may have misread: lower case, without outer punctuation; codes and addresses that can be no word are none."""
     out = []
-    for m in re.finditer(r"\S+", line):
+    for m in _visible(line):
         raw = m[0]
         word = raw.strip(_OUTER)
+        if len(word) < 2:
+            continue
         low = word.lower()
-        if len(word) > 1 and any(c.isalpha() for c in word) and not (_code.fullmatch(low) and not readable(low)):
+        if word.isalpha() or any(map(str.isalpha, word)) and not (_code.fullmatch(low) and not readable(low)):
             out.append((m.start() + raw.find(word), low))
     return out
 

@@ -21,13 +21,17 @@ _number = re.compile(r"\d{1,4}|[ivxlcdm]{1,9}", re.I)
 _shape = re.compile(r"(?P<a>[\[(~–—\-|·*]*\s*(?:(?:page|seite|s|p|pag|pagina|página|pg|blatt|folio)\b\.?\s*)?)(?P<n>\d{1,4}|[ivxlcdm]{1,9})(?P<z>\s*(?:(?:/|of|von|de|sur|aus)\s*\d{1,4})?\s*[\])~–—\-|·*]*)", re.I)
 
 
+_edge_number = re.compile(r"^\s*(?:\d+|[ivxlcdm]{1,9})\s+(?=\S)|\s+(?:\d+|[ivxlcdm]{1,9})\s*$")
+_no_letter = re.compile(r"[^\w]|_")
+_fold_pairs_folded = [(read.translate(_fold_chars), meant.translate(_fold_chars)) for read, meant in _fold_pairs]
+
+
 def fold(text: str) -> str:
     """A key that is equal for a line and its misread copies: case, digits at the ends, marks and confusable characters are gone."""
-    text = re.sub(r"^\s*(?:\d+|[ivxlcdm]{1,9})\s+(?=\S)|\s+(?:\d+|[ivxlcdm]{1,9})\s*$", " ", text.strip().lower())
-    text = text.translate(_fold_chars)
-    for read, meant in _fold_pairs:
-        text = text.replace(read.translate(_fold_chars), meant.translate(_fold_chars))
-    return re.sub(r"[^\w]|_", "", text)
+    text = _edge_number.sub(" ", text.strip().lower()).translate(_fold_chars)
+    for read, meant in _fold_pairs_folded:
+        text = text.replace(read, meant)
+    return _no_letter.sub("", text)
 
 
 def _value(number: str) -> int | None:
