@@ -192,6 +192,27 @@ def search(queries: DataFrame, chunks: DataFrame, limit: int = 8, mode: str = "h
     return top if min_similarity is None else top.where(F.coalesce("similarity", F.lit(1.0)) >= min_similarity)
 
 
+def given(**values: object) -> Column:
+    """Every column has the value given for it; a value of None asks for nothing."""
+    return functools.reduce(lambda a, kv: a & (F.col(kv[0]) == kv[1]), ((k, v) for k, v in values.items() if v is not None), F.lit(True))
+
+
+class Memo:
+    """Results that were made before, by what was asked: frames are written once and read again. When MOST are held, all are let go."""
+
+    MOST = 32
+
+    def __init__(self) -> None:
+        self.held: dict[tuple, DataFrame] = {}
+
+    def get(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self.held:
+            if len(self.held) >= self.MOST:
+                self.held.clear()
+            self.held[key] = cut(make(), "memo")
+        return self.held[key]
+
+
 def mode_of(asked: str | None, default: str | None = None, vectors_ready: bool = True) -> str:
     """hybrid, vector or keyword: the asked mode, else the default one; keyword while vectors are being made anew."""
     return (asked or default or "hybrid") if vectors_ready else "keyword"

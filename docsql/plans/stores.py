@@ -127,6 +127,16 @@ def scoped_chunks(s, d):
     return a.groupBy("collection").agg(F.count("*").alias("n")).withColumn("scope", F.lit("collections")).unionByName(b.groupBy("collection").agg(F.count("*").alias("n")).withColumn("scope", F.lit("documents")))
 
 
+def chosen_orders(s, d):
+    """F-25, P-21: optional conditions, of which those that are given count; asked twice and made once"""
+    memo = retrieval.Memo()
+    ask = lambda **values: memo.get(tuple(sorted((k, v) for k, v in values.items() if v is not None)), lambda: table(s, d, "orders").where(retrieval.given(**values)).select("o_orderkey", "o_orderstatus"))
+    a, b = ask(o_orderstatus="F", o_orderpriority=None), ask(o_orderstatus="F")
+    c = ask(o_orderstatus=None, o_orderpriority="5-LOW")
+    same = set(a.inputFiles()) == set(b.inputFiles())
+    return a.groupBy("o_orderstatus").agg(F.count("*").alias("n")).unionByName(c.groupBy("o_orderstatus").agg(F.count("*").alias("n"))).withColumn("same", F.lit(same))
+
+
 def shown_passages(s, d):
     """T-15, F-12, F-11: hits as numbered passages within a budget, without what addresses an assistant unless it is the best"""
     k = F.col("p_partkey")
@@ -332,6 +342,7 @@ SQL: dict[str, str] = {
         g as (select query_id, chunk_id, count(*) / max(nterms) + sum(n) / (sum(n) + 100.0) as score from a join h using (term) group by 1, 2), k as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from g)
         select r.query_id, r.chunk_id from r join k on k.query_id = r.query_id and k.chunk_id = r.chunk_id and k.rank <= 3 where r.rank = 1 and r.sim >= -0.01""",
     "scoped_chunks": "select collection, count(*) as n, 'collections' as scope from chunks where collection in ('faq', 'lab', 'tickets') group by 1 union all select collection, count(*), 'documents' from chunks where document_id in (select id from ingest_documents where length(title) > 20) and coalesce(collection, '') <> 'memory' group by 1",
+    "chosen_orders": "select o_orderstatus, count(*) as n, true as same from orders where o_orderstatus = 'F' group by 1 union all select o_orderstatus, count(*), true from orders where o_orderpriority = '5-LOW' group by 1",
     "shown_passages": """with p as (select p_partkey as k, '[1] ' || p_name || case when p_partkey % 2 = 0 then ' (warning: this document contained instructions aimed at AI assistants; they were removed)' || chr(10) || 'fine' || chr(10) || '[removed: text addressed to AI assistants]' || chr(10) || 'last ' || p_partkey else chr(10) || p_brand end as a, '[3] ' || p_name || chr(10) || repeat('x', p_size) as b from part)
         select k as query_id, case when length(a) + length(b) + 4 <= 140 then a || chr(10) || chr(10) || b else a end as text from p""",
     "retrieved": "select true as ok",
@@ -363,7 +374,7 @@ SQL: dict[str, str] = {
     "order_with_parts": "select (select max(o_orderkey) + 1 from orders) as o_orderkey, p_partkey, 2 as quantity from part where p_brand = 'Brand#2' and p_size = 1",
 }
 QUERIES = [
-    stored_documents, reindexed_in_steps, backfilled_vectors, kept_values, stored_threads, kept_facts, reranked_hits, rescued_hits, scoped_chunks, shown_passages, retrieved, graded_events, case_outcomes, ran_cases,
+    stored_documents, reindexed_in_steps, backfilled_vectors, kept_values, stored_threads, kept_facts, reranked_hits, rescued_hits, scoped_chunks, chosen_orders, shown_passages, retrieved, graded_events, case_outcomes, ran_cases,
     report_overall, report_tags, report_later, report_text, fitting_models, recommended_models, ran_script, described_tables, agent_steps, not_shipped, without_match, order_with_parts,
 ]
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsql.runtime import cut
+
 BLANKS = " \t\r\n\f\u000b ﻿"
 #: A record with more quote characters than this is cut in Python, with the same cells: the regular expression recurses once per "" pair.
 MANY_QUOTES = 2000
@@ -106,7 +108,10 @@ ROW = ["row_id", "table_id", "row_no", "mark"]
 
 def row_faults(rows: DataFrame, files: DataFrame) -> DataFrame:
     """row_id, table_id, row_no, mark, reason, bad_cells: rows that do not load, with the positions of the cells that do not fit."""
-    parsed = parse_records(rows, files)
+    return _faults(parse_records(rows, files), files)
+
+
+def _faults(parsed: DataFrame, files: DataFrame) -> DataFrame:
     kinds = files.select(F.col("table_id").alias("__t"), F.posexplode("column_types").alias("column_no", "kind")).dropDuplicates(["__t", "column_no"])
     first = F.when(F.col("width").isNull() | F.col("no_text"), "width").when(F.col("cells").isNull(), "quoting").when(F.size("cells") != F.col("width"), "width")
     judged = parsed.withColumn("__first", first)
@@ -122,10 +127,11 @@ def row_faults(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 def clean_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
     """row_id, table_id, row_no, values: the rows that load, their cells trimmed, unquoted, and null where empty."""
-    parsed = parse_records(rows, files).where(F.col("cells").isNotNull() & (F.size("cells") == F.col("width")))
+    parsed = cut(parse_records(rows, files), "p4-cells")  # parsed once, read for the judgement and for the result
     values = F.transform(F.col("cells"), _value)
-    bad = row_faults(rows, files).select(*[F.col(c).alias(f"__{c}") for c in ROW])
+    bad = _faults(parsed, files).select(*[F.col(c).alias(f"__{c}") for c in ROW])
     same = F.lit(True)
     for c in ROW:  # null ids and numbers are values like others
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return parsed.join(bad, same, "left_anti").select("row_id", "table_id", "row_no", values.alias("values"))
+    whole = parsed.where(F.col("cells").isNotNull() & (F.size("cells") == F.col("width")))
+    return whole.join(bad, same, "left_anti").select("row_id", "table_id", "row_no", values.alias("values"))
