@@ -1,11 +1,17 @@
 """Operators over ordered rows of groups, none of which gathers a group in one task.
 
-Rows are range-partitioned by (keys, order), so a large group lies in several partitions; what crosses their borders is
-one row per partition, which the driver puts right.
+Rows are range-partitioned by (keys, order) and sorted, so a large group lies in several partitions. What a row takes from
+the one before it is found while the rows stream past, a column at a time; only what crosses the partitions' borders, one or
+two rows each, is put right by the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,55 +19,83 @@ from pyspark.sql import types as T
 from docsql.runtime import cut
 
 
-def _laid(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df in ranges of (keys, order), with the range's number as __part; written, so that the numbers stay what they are."""
+def _before(column: pa.Array, carried: pa.Array) -> pa.Array:
+    """A column moved down by a row; `carried` is the last value of the batch before."""
+    return pa.concat_arrays([carried, column.slice(0, len(column) - 1)])
+
+
+def _same(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Equal, where null equals null."""
+    return pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+
+
+def _streamed(df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str) -> DataFrame:
+    """df in ranges of (keys, order), written: with the values before (of the row before in the range, whatever its group),
+    __row (number in the range, from 0), __part, and __same (the row before is of the same group)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, *[T.StructField(prefix + v, df.schema[v].dataType) for v in values], T.StructField("__row", T.LongType()), T.StructField("__part", T.IntegerType()), T.StructField("__same", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        last: dict[str, pa.Array] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = {c: b.column(c) for c in {*keys, *values}}
+            moved = {c: _before(x, last.get(c, pa.nulls(1, x.type))) for c, x in cols.items()}
+            same = pa.array([True] * b.num_rows)
+            for k in keys:
+                same = pc.and_(same, _same(moved[k], cols[k]))
+            if not seen:
+                same = pa.concat_arrays([pa.array([False]), same.slice(1)])
+            last = {c: x.slice(len(x) - 1) for c, x in cols.items()}
+            yield pa.RecordBatch.from_arrays([*b.columns, *(moved[v] for v in values), pa.array(range(seen, seen + b.num_rows), pa.int64()), pa.array([part] * b.num_rows, pa.int32()), same], schema.names)
+            seen += b.num_rows
+
+    return cut(df.select(*names).repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(run, schema), "ranges")
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], prefix: str = "prev_") -> DataFrame:
     """df with the values of the row before, within its group; null for a group's first row. The order should be total."""
-    laid = _laid(df, keys, order)
-    w = Window.partitionBy(*keys, "__part").orderBy(*order)
-    out = laid.select("*", *[F.lag(v).over(w).alias(prefix + v) for v in values], (F.row_number().over(w) == 1).alias("__first"))
+    laid = _streamed(df, keys, order, values, prefix)
     # one row a range: its last one, for the first row of the next
-    ends = laid.groupBy("__part").agg(F.max(F.struct(*keys, *order, *[F.col(v).alias(f"__v_{v}") for v in values])).alias("e")).orderBy("__part").collect()
-    rows = [(after["__part"], *[before["e"][k] for k in keys], *[before["e"][f"__v_{v}"] for v in values]) for before, after in zip(ends, ends[1:])]
-    if not rows:
-        return out.drop("__part", "__first")
-    border = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("__part", T.IntegerType()), *[T.StructField(f"__k_{k}", df.schema[k].dataType) for k in keys], *[T.StructField(f"__b_{v}", df.schema[v].dataType) for v in values]]))
-    joined = out.join(F.broadcast(border), "__part", "left")  # as many rows as ranges
-    match = F.col("__first")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return joined.select(*df.columns, *[F.when(match, F.col(f"__b_{v}")).otherwise(F.col(prefix + v)).alias(prefix + v) for v in values])
+    rows = laid.groupBy("__part").agg(F.max_by(F.struct(*keys, *values), "__row").alias("e")).orderBy("__part").collect()
+    border = [(after["__part"], *[before["e"][k] for k in range(len(keys))], *[before["e"][len(keys) + v] for v in range(len(values))]) for before, after in zip(rows, rows[1:])]
+    kept = [F.when(F.col("__same"), F.col(prefix + v)).alias(prefix + v) for v in values]
+    if not border:
+        return laid.select(*df.columns, *kept)
+    ends = df.sparkSession.createDataFrame(border, T.StructType([T.StructField("__to", T.IntegerType()), *[T.StructField(f"__k{i}", df.schema[k].dataType) for i, k in enumerate(keys)], *[T.StructField(f"__b{i}", df.schema[v].dataType) for i, v in enumerate(values)]]))
+    match = F.col("__row") == 0
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = laid.join(F.broadcast(ends), (F.col("__part") == F.col("__to")) & match, "left")  # at most one row a range
+    return joined.select(*df.columns, *[F.when(F.col("__to").isNotNull(), F.col(f"__b{i}")).when(F.col("__same"), F.col(prefix + v)).alias(prefix + v) for i, v in enumerate(values)])
 
 
 def merged_runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """keys, value, first, n: runs of neighbours with the same value as one row each; `first` is the run's first order struct.
 
-    Runs are summed up within each range; a run that goes on in the next range is put together from the first and the last
-    run of each range, two rows a range.
+    Rows that open a run are found while they stream past; a run has the rows up to the next opener of its range, and what
+    a range has before its first opener of another run goes to the run that the range before left open.
     """
-    laid = _laid(df.select(*keys, *order, value), keys, order)
-    w = Window.partitionBy("__part").orderBy(*keys, *order)
-    same = F.row_number().over(w) > 1
-    for c in (*keys, value):
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    numbered = laid.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = cut(numbered.groupBy("__part", "__run").agg(*[F.first(c).alias(c) for c in (*keys, value)], F.min(F.struct(*order)).alias("first"), F.count("*").alias("n")), "runs")
-    last = parts.groupBy("__part").agg(F.max("__run").alias("__last"))
-    edges = parts.join(last, "__part").where("__run = 1 or __run = __last").select("__part", "__run", "__last", *keys, value).orderBy("__part", "__run").collect()
+    laid = _streamed(df.select(*keys, *order, value), keys, order, [value], "__p_")
+    opens = laid.where(~(F.col("__same") & F.col(value).eqNullSafe(F.col(f"__p_{value}"))))
+    following = F.lead("__row").over(Window.partitionBy("__part").orderBy("__row"))
+    size = laid.groupBy("__part").agg((F.max("__row") + 1).alias("__size"))
+    runs = opens.withColumn("__next", following).join(size, "__part").withColumn("n", F.coalesce("__next", "__size") - F.col("__row")).withColumn("first", F.struct(*order))
+    runs = cut(runs.select("__part", "__row", (F.col("__next").isNull()).alias("__last"), *keys, value, "first", "n"), "runs")
+    # the first and the last run of each range: where the one goes on from the other, they are one
+    edges = runs.where("__row = 0 or __last").select("__part", "__row", "__last", *keys, value).orderBy("__part", "__row").collect()
     goes_on, before = [], None
     for r in edges:
-        if r["__run"] == 1 and before is not None and all(r[c] == before[0][c] for c in (*keys, value)):
-            goes_on.append((r["__part"], 1, *before[1]))
+        root = (r["__part"], r["__row"])
+        if r["__row"] == 0 and before is not None and all(r[c] == before[0][c] for c in (*keys, value)):
             root = before[1]
-        else:
-            root = (r["__part"], r["__run"])
-        if r["__run"] == r["__last"]:
+            goes_on.append((r["__part"], r["__row"], *root))
+        if r["__last"]:
             before = (r, root)
-    into = df.sparkSession.createDataFrame(goes_on, "__part int, __run bigint, __to_part int, __to_run bigint")
-    roots = parts.join(F.broadcast(into), ["__part", "__run"], "left")  # at most one row a range
-    roots = roots.withColumn("__p", F.coalesce("__to_part", "__part")).withColumn("__r", F.coalesce("__to_run", "__run"))
+    into = df.sparkSession.createDataFrame(goes_on, "__part int, __row bigint, __to_part int, __to_row bigint")
+    roots = runs.join(F.broadcast(into), ["__part", "__row"], "left")  # at most one row a range
+    roots = roots.withColumn("__p", F.coalesce("__to_part", "__part")).withColumn("__r", F.coalesce("__to_row", "__row"))
     return roots.groupBy("__p", "__r").agg(*[F.first(c).alias(c) for c in (*keys, value)], F.min("first").alias("first"), F.sum("n").alias("n")).drop("__p", "__r")
