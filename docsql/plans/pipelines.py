@@ -87,6 +87,16 @@ def streamed_events(s, d):
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def stitched_transcripts(s, d):
+    """ST-2: windows cut from the sentences of each text, as overlapping transcripts, stitched again"""
+    t = table(s, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("audio_id"), F.split("text", r"(?<=[.!?])\s+").alias("said"))
+    # a sentence takes 5 s: a window of 30 s has 6, the next begins with the last of them
+    last = F.greatest(F.lit(0), F.ceil((F.size("said") - 6) / 5)).cast("int")
+    seg = lambda k: F.transform(F.slice("said", k * 5 + 1, 6), lambda x, i: F.struct(((k * 5 + i) * 5.0).alias("start"), ((k * 5 + i) * 5.0 + 5).alias("end"), x.alias("text")))
+    w = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k * 25.0).alias("start"), (k * 25.0 + 30).alias("end"), seg(k).alias("segments")))
+    return windows.stitched(t.select("audio_id", F.explode(w).alias("w")).select("audio_id", "w.*")).select("audio_id", "start", "end", F.sha2("text", 256).alias("hash"))
+
+
 def streamed_documents(s, d):
     """ST-10: a stream of documents without those whose content came before, told by its hash"""
     schema = table(s, d, "documents").schema
@@ -123,7 +133,7 @@ SQL: dict[str, str] = {
     "streamed_documents": "select coalesce(collection, 'default') as collection, count(*) as n from (select distinct collection, title, text from documents) group by 1",
     "streamed_events": "select event_type, count(distinct event_id) as n from events group by 1",
 }
-QUERIES = [chunk_texts, ingest_actions, ingest_runs, column_types, row_texts, section_texts, sample_windows, event_windows, stalls, streamed_events, streamed_documents]
+QUERIES = [chunk_texts, ingest_actions, ingest_runs, column_types, row_texts, section_texts, sample_windows, event_windows, stalls, streamed_events, streamed_documents, stitched_transcripts]
 
 
 def queries() -> dict:
