@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -74,7 +75,10 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     ends = [min(1.0, max(0.0, p + d / ACCURACY)) for p in shares.values() for d in (-2, 2)]
     sketch = held.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", ends, ACCURACY).alias("__q"))
     brackets = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("__n") - 1, F.floor(F.lit(p) * F.col("__n"))).alias("at"), F.col("__q")[2 * i].alias("lo"), F.col("__q")[2 * i + 1].alias("hi")) for i, (name, p) in enumerate(shares.items())])
-    near = (held.join(sketch.select(*keys, brackets.alias("__b")), keys) if keys else held.crossJoin(sketch.select(brackets.alias("__b")))).select(*keys, "__v", F.explode("__b").alias("b"))  # without keys the sketch is one row
+    told = F.broadcast(sketch) if not keys else sketch  # without keys it is one row
+    told = told.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], brackets.alias("__b"))
+    same = functools.reduce(lambda c, i: c & F.col(keys[i]).eqNullSafe(F.col(f"__k{i}")), range(len(keys)), F.lit(True))  # a null key is a group like others
+    near = held.join(told, same).select(*keys, "__v", F.explode("__b").alias("b"))
     near = near.where(F.col("__v") <= F.col("b.hi")).withColumn("__in", F.when(F.col("__v") >= F.col("b.lo"), F.col("__v")))
     counted = near.groupBy(*keys, F.col("b.name").alias("__name"), F.col("b.at").alias("__at"), "__in").agg(F.count("*").alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(*keys, "__name").orderBy(F.asc_nulls_first("__in")).rowsBetween(Window.unboundedPreceding, 0))

@@ -171,7 +171,7 @@ def later_turns(turns: DataFrame) -> DataFrame:
     later = turns.where("graded and turn > 0")
     mean = lambda c: F.floor(F.avg(c) + 0.5).cast("bigint")
     g = later.agg(F.count("*").alias("count"), (F.count_if("passed") / F.nullif(F.count("*"), F.lit(0))).alias("rate"), mean("prefill_tokens").alias("mean_prefill"), mean("prompt_chars").alias("mean_prompt"), F.avg("reuse").alias("reuse")).where("count > 0")
-    return g.join(percentiles(later, [], "first_token_ms", {"first_token_p50": 0.5}), how="left")  # one row each
+    return g.crossJoin(F.broadcast(percentiles(later, [], "first_token_ms", {"first_token_p50": 0.5})))  # one row each
 
 
 def report_lines(per_case: DataFrame) -> DataFrame:

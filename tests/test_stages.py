@@ -66,6 +66,7 @@ def test_percentiles_without_a_window_over_the_group(spark):
     for g in range(3):
         v = sorted(5.0 if i % 2 == 0 else float(i) for i in range(100_000) if i % 3 == g)
         assert rows[g] == tuple(v[min(len(v) - 1, int(p * len(v)))] for p in (0.0, 0.75, 1.0))
+    assert percentiles(df.select(F.lit(None).cast("int").alias("g"), "v").limit(9), ["g"], "v", {"a": 0.5}).count() == 1
     assert percentiles(df.where("false"), ["g"], "v", {"a": 0.5}).count() == 0 and percentiles(df, [], "v", {"a": 0.5}).count() == 1
 
 
