@@ -224,11 +224,14 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, least: float = -1.0,
     own = members.select("first").distinct().select(F.col("first").alias("id"), F.col("first").alias("neighbour"), F.lit(1.0).cast("float").alias("similarity"))
     top = best.withColumn("n", F.row_number().over(by_rank("id"))).where(F.col("n") <= k + 1).drop("n").unionByName(own)
     wide = top.join(few.withColumnRenamed("first", "neighbour"), "neighbour", "left").select("id", "similarity", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"))
-    asking = members.where("asked").select("first", F.col("id").alias("one"))
-    wide = wide.join(asking, F.col("id") == F.col("first"), "left").join(members.select(F.col("first").alias("id")).distinct().withColumn("folded", F.lit(True)), "id", "left")
-    wide = wide.where("folded is null or one is not null").select(F.coalesce("one", "id").alias("id"), "neighbour", "similarity").where("id <> neighbour")
-    wide = wide.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))  # ids with several vectors
-    return wide.withColumn("rank", F.row_number().over(by_rank("id"))).where(F.col("rank") <= k)
+    # k + 1 ids serve all members of a class, as each leaves out itself only
+    wide = wide.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+    wide = wide.withColumn("n", F.row_number().over(by_rank("id"))).where(F.col("n") <= k + 1).drop("n")
+    alone = wide.join(members.select(F.col("first").alias("id")).distinct(), "id", "left_anti")
+    # the members of a hot class are many rows of one key on one side of an inner join, which Spark splits
+    each = members.where("asked").select("first", F.col("id").alias("one")).join(wide.withColumnRenamed("id", "first"), "first").select(F.col("one").alias("id"), "neighbour", "similarity")
+    every = alone.unionByName(each).where("id <> neighbour").groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))  # ids with several vectors
+    return every.withColumn("rank", F.row_number().over(by_rank("id"))).where(F.col("rank") <= k)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, dim: int = 64, least: float = 0.88) -> DataFrame:
