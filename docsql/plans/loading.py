@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import io
+import functools
+import struct
 import uuid
-import zipfile
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docsql.operators import tables
@@ -15,6 +16,11 @@ from docsql.runtime import table, work_dir
 from docsql.sources import files
 
 
+def _dealt(s, d):
+    """part, dealt out over the cores whatever its row groups: to make and read files takes far more than to move its rows."""
+    return table(s, d, "part").select("p_partkey", "p_name", "p_size").repartition(4 * s.sparkContext.defaultParallelism)
+
+
 def _texts(s, d):
     """Files of every text format, one row of `part` each: path and content."""
     p, k = table(s, d, "part"), F.col("p_partkey").cast("string")
@@ -51,12 +57,22 @@ def written_files(s, d):
     return r.where("kind = 'document'").select(F.explode(F.split("content", "\n")).alias("name"), (F.get_json_object("metadata", "$.modified") > "2020").alias("dated")).where("name <> ''")
 
 
+@functools.lru_cache(1024)
+def _part(name: str, body: str) -> tuple[bytes, bytes, bytes]:
+    """A part of a zip file: name, fields of its header, deflated bytes. Many files have parts in common."""
+    data, deflate = body.encode(), zlib.compressobj(wbits=-15)
+    raw = deflate.compress(data) + deflate.flush()
+    return name.encode(), struct.pack("<5H3L2H", 20, 0, 8, 0, 33, zlib.crc32(data), len(raw), len(data), len(name), 0), raw
+
+
 def _zip(parts: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in parts.items():
-            z.writestr(name, body)
-    return out.getvalue()
+    out, heads, at = [], [], 0
+    for name, head, raw in map(_part, parts, parts.values()):
+        out += [b"PK\3\4", head, name, raw]
+        heads += [b"PK\1\2\x14\0", head, bytes(10), struct.pack("<L", at), name]
+        at += 30 + len(name) + len(raw)
+    ends = b"".join(heads)
+    return b"".join([*out, ends, struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, len(parts), len(parts), len(ends), at, 0)])
 
 
 _W = 'xmlns:w="http://w" xmlns:r="http://r" xmlns:a="http://a" xmlns:p="http://p"'
@@ -101,12 +117,14 @@ def _pptx(key: int, name: str, size: int) -> bytes:
 def office_files(s, d):
     """S-12 to S-17, S-19, S-20, W-12: documents, sheets, books and slides"""
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(f"/in/{k}.{e}", made(k, n, z)) for k, n, z in zip(f.p_partkey, f.p_name, f.p_size) for e, made in (("docx", _docx), ("xlsx", _xlsx), ("epub", _epub), ("pptx", _pptx))]
-            yield pd.DataFrame(rows, columns=["path", "content"])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                rows = zip(*b.slice(at, 1000).to_pydict().values())
+                paths, contents = zip(*[(f"/in/{k}.{e}", made(k, n, z)) for k, n, z in rows for e, made in (("docx", _docx), ("xlsx", _xlsx), ("epub", _epub), ("pptx", _pptx))])
+                yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
-    made = table(s, d, "part").select("p_partkey", "p_name", "p_size").mapInPandas(make, "path string, content binary")
+    made = _dealt(s, d).mapInArrow(make, "path string, content binary")
     r = files.load_binaries(made)
     return r.select("path", "format", "ordinal", "title", "content", F.to_json("columns").alias("columns"), F.to_json(F.col("rows"), {"ignoreNullFields": "false"}).alias("cells"), "error")
 

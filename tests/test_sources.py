@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsql.operators import tables
+from docsql.plans import loading
 from docsql.sources import delimited, files, markup
 
 FILES = "table_id int, name string, source string, delimiter string, columns array<string>, column_types array<string>"
@@ -121,3 +122,36 @@ def test_entities_and_forgiving_xml():
     assert markup.html_to_markdown("<p>a &Alpha; &lt;b&gt; &copy 1</p>")[1] == "a &Alpha; <b> &copy 1"
     t = markup.forgiving_xml("<?xml version='1.0'?><w:a x='1' w:y=2><b>one & two</c><![CDATA[<raw>]]></b><d/>tail")
     assert t.tag == "a" and t.attrib == {"x": "1", "y": "2"} and t[0].text == "one & two<raw>" and [c.tag for c in t] == ["b", "d"] and t[1].tail == "tail"
+
+
+def test_package_reads_as_zipfile_does():
+    def made(comment=b"", ahead=b"", names=("a.txt", "b/c.xml"), method=zipfile.ZIP_DEFLATED, big=False):
+        out = io.BytesIO(ahead)
+        out.seek(len(ahead))
+        with zipfile.ZipFile(out, "w", method) as z:
+            z.comment = comment
+            for n in names:
+                with z.open(n, "w", force_zip64=big) as f:
+                    f.write(n.encode() * 50)
+        return out.getvalue()
+
+    for data in (made(), made(method=zipfile.ZIP_STORED), made(b"note"), made(ahead=b"PK\3\4 before"), made(names=("é.txt",)), made(names=()), made(big=True), made(method=zipfile.ZIP_BZIP2)):
+        z, p = zipfile.ZipFile(io.BytesIO(data)), markup.Package(data)
+        assert list(p.parts) == z.namelist() and all(p.read(n) == z.read(n) for n in z.namelist())
+    data = made(method=zipfile.ZIP_STORED)
+    for broken in (data.replace(b"a.txta.txt", b"a.txtA.txt", 1), data[:-30], b"PK\3\4"):
+        with pytest.raises(zipfile.BadZipFile):
+            markup.Package(broken).read("a.txt")
+
+
+def test_parts_that_files_have_in_common_are_read_once(monkeypatch):
+    seen, real = [], markup.ElementTree.fromstring
+    monkeypatch.setattr(markup.ElementTree, "fromstring", lambda data: seen.append(data) or real(data))
+    texts = [files.load_file(f"{k}.docx", loading._docx(k, "x", 3))[0]["content"] for k in (1001, 1002, 1003, 1004, 1005, 1006)]
+    assert [t.split("\n")[0] for t in texts] == [f"# Part {k}" for k in range(1001, 1007)] and all("1. one\n2. two" in t for t in texts)
+    assert len([d for d in seen if b"w:numbering" in d]) <= 1 and len([d for d in seen if b"w:styles" in d]) <= 2
+
+
+def test_files_are_made_on_all_cores(spark):
+    """However few row groups the table has."""
+    assert loading.office_files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
