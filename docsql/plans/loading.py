@@ -134,10 +134,11 @@ def _glyph_runs(data: bytes) -> list[dict]:
     rows = []
     for line in data.decode().split("\n")[1:]:
         page, y, size, text = line.split("|")
-        x = 50.0
+        x, page, y, size = 50.0, int(page), float(y), float(size)
         for word in text.split(" "):
-            rows.append({"page": int(page), "seq": len(rows), "x": x, "y": float(y), "width": 5.0 * len(word), "size": float(size), "text": word})
-            x += 5.0 * len(word) + 3
+            width = 5.0 * len(word)
+            rows.append({"page": page, "seq": len(rows), "x": x, "y": y, "width": width, "size": size, "text": word})
+            x += width + 3
     return rows
 
 
@@ -148,7 +149,7 @@ def _read_image(data: bytes) -> tuple[str, float]:
 
 def scanned_files(s, d):
     """S-18, S-21, W-6, W-7, U-3: glyph runs as Markdown and images by a pluggable reader"""
-    p = table(s, d, "part")
+    p = _dealt(s, d)
     k, z = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     line = lambda page, y, size, *text: F.concat(F.lit(f"\n{page}|{y}|{size}|"), *text)
     pages = [F.lit("%PDF-1.7")]

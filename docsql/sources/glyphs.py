@@ -1,14 +1,22 @@
 """Text of positioned glyph runs: lines, sizes, headings, paragraphs. Also the data of event streams.
 
 glyphs: doc, page, seq, x, y, width, size, text. Every window stays within a page, or within the lines of a document.
+`markdown` takes a table of them, `markdown_of` the runs of one document where they are read; both give the same text.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter, defaultdict
+from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsql.functions.detectors import BULLET, is_page_number
+from docsql.functions.detectors import BULLET, PAGE_NUMBER, is_page_number
 from docsql.functions.numeric import percentiles
 from docsql.functions.text import running_key
 
@@ -94,6 +102,139 @@ def markdown(glyphs: DataFrame) -> DataFrame:
     return paragraphs(with_levels(without_running(lines(glyphs))))
 
 
+_END = r"(?:\r\n|[\n\r\x85\u2028\u2029])?\Z"  # what $ stands before in Spark
+_space, _digits = re.compile(r"\s+", re.A), re.compile(r"\d+", re.A)
+_SPACES, _ENDS = frozenset(" \t\n\r\f\v"), frozenset("\x85\u2028\u2029")
+_blank, _closes = re.compile(r"\s" + _END, re.A), re.compile(r"[.!?:;]" + _END, re.A)
+_number, _bullet, _item = re.compile(PAGE_NUMBER.replace("$", _END), re.A), re.compile(BULLET, re.A), re.compile(r"\(?\d{1,2}[.)]\s", re.A)
+_hyphen, _listed = re.compile(r"(?<=[A-Za-zÀ-ÿ])-\n(?=[a-zà-ÿ])"), re.compile(r"- |\d{1,2}\. ", re.A)
+
+
+@dataclass(slots=True)
+class _Line:
+    page: int
+    cells: list[str]
+    text: str
+    size: float
+    x: float
+    y: float
+    end_x: float
+    level: int = 0
+    plain: bool = False
+    gap: float | None = None
+
+
+def _ends_blank(text: str) -> bool:
+    last = text[-1:]
+    return last in _SPACES or last in _ENDS and bool(_blank.search(text[-3:]))
+
+
+def _lines_of(runs: list[dict]) -> list[_Line]:
+    found: list[tuple] = []
+    page, y, last_y, last_size, last_end, last_text = None, 0.0, 0.0, 0.0, 0.0, None
+    parts, size, x, end_x = [], 0.0, 0.0, 0.0
+    for r in sorted(runs, key=itemgetter("page", "seq")):
+        p, rx, ry, rsize, text = r["page"], r["x"], r["y"], r["size"], r["text"]
+        end = rx + r["width"]
+        if p != page or ry != last_y and abs(ry - last_y) > max(rsize, last_size) * LINE:
+            if parts:
+                found.append((page, parts, size, x, y, end_x))
+            parts, page, size, x, y, end_x = [text or ""], p, rsize, rx, ry, end
+        else:
+            if text is not None:
+                gap = rx - last_end
+                if gap > rsize * WORD:
+                    if gap > rsize * CELL:
+                        parts.append("\t")
+                    elif last_text is not None and text[:1] not in _SPACES and not _ends_blank(last_text):
+                        parts.append(" ")
+                parts.append(text)
+            if rsize > size:
+                size = rsize
+            if rx < x:
+                x = rx
+            if end > end_x:
+                end_x = end
+        last_y, last_size, last_end, last_text = ry, rsize, end, text
+    if parts:
+        found.append((page, parts, size, x, y, end_x))
+    out = []
+    for page, parts, size, x, y, end_x in found:
+        cells = []
+        for c in "".join(parts).split("\t"):
+            c = (c if "  " not in c and c.isprintable() else _space.sub(" ", c)).strip(" ")
+            if c:
+                cells.append(c)
+        if cells:
+            out.append(_Line(page, cells, " ".join(cells), size, x, y, end_x))
+    return out
+
+
+def _without_running(lines: list[_Line]) -> list[_Line]:
+    pages = [list(g) for _, g in groupby(lines, key=lambda a: a.page)]
+    key = lambda a: _digits.sub("#", a.text.lower())  # noqa: E731 - its blanks are single ones already
+    edges = [{i: key(a) for i, a in enumerate(p) if i < 2 or i >= len(p) - 2} for p in pages]
+    n = Counter(k for e in edges for k in set(e.values()))
+    most = max(3, math.ceil(len(pages) * 0.5))
+    return [a for p, e in zip(pages, edges) for i, a in enumerate(p) if i not in e or n[e[i]] < most and not _number.search(a.text)]
+
+
+def _upto(values: list[float], share: float) -> float | None:
+    return sorted(values)[min(len(values) - 1, math.floor(share * len(values)))] if values else None
+
+
+def markdown_of(runs: list[dict]) -> str:
+    """Markdown of one document's runs (page, seq, x, y, width, size, text); empty where they hold no text."""
+    lines = _without_running(_lines_of(runs))
+    if not lines:
+        return ""
+    half = lambda a: math.floor(a.size * 2 + 0.5) / 2
+    weight: dict[float, int] = defaultdict(int)
+    for a in lines:
+        weight[half(a)] += len(a.text)
+    body = max(weight, key=lambda h: (weight[h], h))
+    is_head = lambda a: a.size / body >= HEADING and len(a.text) <= LONGEST_HEADING
+    heads = {half(a) for a in lines if is_head(a)}
+    rank = {h: min(3, i) for i, h in enumerate(sorted(heads, reverse=True), 1)}
+    widths, gaps, above = [], [], None
+    for a in lines:
+        a.level = rank[half(a)] if is_head(a) else 0
+        a.plain = abs(a.size - body) < BODY and len(a.cells) == 1
+        if a.plain:
+            widths.append(a.end_x - a.x)
+        if above and above.page == a.page:
+            a.gap = above.y - a.y
+            if a.plain and above.plain and a.gap > 0:
+                gaps.append(a.gap)
+        above = a
+    full = _upto(widths, WIDTH_AT) if len(widths) >= 3 else None
+    spacing = _upto(gaps, 0.5) or body * NO_SPACING
+    blocks: list[tuple[_Line, list[str]]] = []
+    above = None
+    for a in lines:
+        row = len(a.cells) > 1
+        goes_on = (
+            above and not row and len(above.cells) == 1 and a.level == above.level and not (a.level > 0 and abs(a.size - above.size) > BODY)
+            and a.gap is not None and 0 <= a.gap <= spacing * WIDER_GAP and not _bullet.match(a.text) and not _item.match(a.text)
+            and not (above.plain and full is not None and above.end_x - above.x < full * SHORT and _closes.search(above.text))
+        )
+        said = "| " + " | ".join(c.replace("|", "\\|") for c in a.cells) + " |" if row else a.text if goes_on else _bullet.sub("- ", a.text)
+        if goes_on:
+            blocks[-1][1].append(said)
+        else:
+            blocks.append((a, [said]))
+        above = a
+    out, was_row, was_listed = [], False, False
+    for a, said in blocks:
+        t, row = said[0] if len(said) == 1 else _hyphen.sub("", "\n".join(said)).replace("\n", " "), len(a.cells) > 1
+        listed = bool(_listed.match(t))
+        if out:
+            out.append("\n" if row and was_row or listed and not row and was_listed else "\n\n")
+        out += ["#" * a.level + " " if a.level else "", t, "\n|" + " --- |" * len(a.cells) if row and not was_row else ""]
+        was_row, was_listed = row, listed
+    return "".join(out)
+
+
 def event_data(body: Column) -> Column:
     """Data of each server-sent event: its data lines joined; events without data are left out."""
     events = F.split(F.regexp_replace(body, "\r\n?", "\n"), "\n\n+")

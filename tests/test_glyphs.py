@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from docsql.sources import glyphs
+from docsql.sources import files, glyphs
 
 
 def test_markdown(spark):
@@ -32,6 +34,41 @@ def test_markdown(spark):
     assert glyphs.markdown(df.where("false")).count() == 0
 
 
+def test_one_document_reads_as_in_a_table(spark):
+    rng, docs = random.Random(5), {}
+    words = ["alpha", "Beta", "", " ", "x-", "the", "Über-", "ende.", "a\tb", "|", "-", "•", "3.", "(4)", "why?", "é ", None]
+    for d in range(150):
+        runs = docs[f"d{d}"] = []
+        for page in range(1, rng.randint(1, 6) + 1):
+            y = 800.0
+            for n in range(rng.randint(0, 9)):
+                size, x = rng.choice([9.0, 10.0, 10.0, 10.0, 10.3, 14.0, 18.0]), rng.choice([50.0, 50.0, 62.0])
+                texts = rng.choice([["Yearly", "list", str(page)], ["Page", str(page), "of", "4"], ["•", "point"], [str(page)], *[[rng.choice(words) for _ in range(rng.randint(1, 8))] for _ in range(5)]])
+                for t in texts:
+                    runs.append({"page": page, "seq": len(runs), "x": x, "y": y + rng.choice([0.0, 0.0, 0.0, 2.0]), "width": 5.0 * len(t or ""), "size": size, "text": t})
+                    x += 5.0 * len(t or "") + rng.choice([0.5, 3.0, 3.0, 3.0, 30.0])
+                y -= rng.choice([12.0, 12.0, 12.0, 13.0, 24.0, 40.0, -300.0])
+        rng.shuffle(runs)
+    names = ["page", "seq", "x", "y", "width", "size", "text"]
+    df = spark.createDataFrame([(d, *[r[c] for c in names]) for d, runs in docs.items() for r in runs], "doc string, page int, seq int, x double, y double, width double, size double, text string")
+    told = {r["doc"]: r["text"] for r in glyphs.markdown(df).collect()}
+    assert len(told) > 100 and {d: t for d, runs in docs.items() if (t := glyphs.markdown_of(runs))} == told
+
+
+def test_pdfs_are_read_where_they_lie(spark):
+    """A file's text needs no other file: nothing is exchanged or written, and one without text is a document like an empty file."""
+
+    def decode(data):
+        if data.endswith(b"broken"):
+            raise ValueError("no pages")
+        return [{"page": 1, "seq": i, "x": 50.0 + 40 * i, "y": 800.0, "width": 35.0, "size": 10.0, "text": t} for i, t in enumerate(data.decode().split()[1:])]
+
+    made = spark.createDataFrame([(f"/in/{n}.pdf", b"%PDF-1.7 " + t) for n, t in (("a", b"one two"), ("b", b""), ("c", b"broken"))], "path string, content binary").coalesce(1)
+    r = files.load_binaries(made, None, decode)
+    assert "Exchange" not in r._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x["path"], x["format"], x["kind"], x["content"], x["error"]) for x in r.collect()) == [("/in/a.pdf", "pdf", "document", "one two", None), ("/in/b.pdf", "pdf", "document", "", None), ("/in/c.pdf", "pdf", "error", None, "ValueError: no pages")]
+
+
 def test_event_data(spark):
     body = "event: x\ndata: one\ndata: two\n\n: note\n\ndata:three\r\n\r\n"
     assert spark.createDataFrame([(body,)], "b string").select(glyphs.event_data(F.col("b")).alias("d")).first()["d"] == ["one\ntwo", "three"]
